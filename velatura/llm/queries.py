@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.llm import overlap
+from velatura.llm import overlap, percentiles, site_lines
 from velatura.session import table
 
 
@@ -17,5 +17,43 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(*overlap.cross_split(table(spark, sf_dir, "dataset_registros")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report)}
-SQL: dict[str, str] = {}
+QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+METRICS = ["eval_tokens_per_second", "total_duration_sec"]
+
+
+def p2_percentis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "p02_brkga_logs_llm", "resultado_id", *METRICS)
+    found = percentiles.read(percentiles.digest(logs, "resultado_id", METRICS), QUANTILES)
+    return found.withColumn("grupo", F.col("grupo").cast("long")).withColumnRenamed("grupo", "resultado_id")
+
+
+def p2_contagens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the digests hold: nothing is lost in folding and adding."""
+    logs = table(spark, sf_dir, "p02_brkga_logs_llm", "resultado_id", "created_at", *METRICS)
+    cut = F.to_timestamp(F.lit("2024-01-01")).cast("timestamp_ntz")
+    early = F.coalesce(F.col("created_at") < cut, F.lit(True))
+    pieces = [percentiles.digest(logs.where(c), "resultado_id", METRICS) for c in (early, ~early)]
+    return percentiles.merge(*pieces).groupBy(F.col("grupo").cast("long").alias("resultado_id"), "metrica").agg(F.sum("n").alias("n"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.excess_places(table(spark, sf_dir, "prontuarios"), "rec_idx", "descricao", "unidade")
+
+
+def p4_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.without_excess(table(spark, sf_dir, "prontuarios"), "rec_idx", "descricao", "unidade")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p4_found, p4_textos)}
+_LINES = r"""
+WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
+tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),
+l AS (SELECT rec_idx, unidade, unnest(string_split(descricao, chr(10))) AS line, generate_subscripts(string_split(descricao, chr(10)), 1) - 1 AS linha FROM r),
+k AS (SELECT rec_idx, unidade, linha, line, CASE WHEN regexp_matches(line, '\p{L}') THEN regexp_replace(lower(line), '[\s\p{Z}\p{Nd}]+', '', 'g') END AS key FROM l),
+big AS (SELECT k.unidade, k.key FROM k JOIN tot ON k.unidade IS NOT DISTINCT FROM tot.unidade WHERE key IS NOT NULL GROUP BY k.unidade, k.key, tot.total HAVING count(DISTINCT rec_idx) >= 10 AND count(DISTINCT rec_idx) >= 0.05 * tot.total - 1e-9)
+"""
+SQL: dict[str, str] = {
+    "p2_contagens": "SELECT resultado_id, 'eval_tokens_per_second' AS metrica, CAST(count(*) AS BIGINT) AS n FROM p02_brkga_logs_llm WHERE eval_tokens_per_second IS NOT NULL AND NOT isnan(eval_tokens_per_second) GROUP BY 1 UNION ALL SELECT resultado_id, 'total_duration_sec', CAST(count(*) AS BIGINT) FROM p02_brkga_logs_llm WHERE total_duration_sec IS NOT NULL AND NOT isnan(total_duration_sec) GROUP BY 1",
+    "p4_found": _LINES + "SELECT k.rec_idx, CAST(k.linha AS INTEGER) AS linha FROM k JOIN big ON k.unidade IS NOT DISTINCT FROM big.unidade AND k.key = big.key",
+    "p4_textos": _LINES + ", kept AS (SELECT k.rec_idx, string_agg(k.line, chr(10) ORDER BY k.linha) AS texto FROM k LEFT JOIN big ON k.unidade IS NOT DISTINCT FROM big.unidade AND k.key = big.key WHERE big.key IS NULL GROUP BY k.rec_idx) SELECT r.rec_idx, CASE WHEN r.descricao IS NULL THEN NULL ELSE coalesce(kept.texto, '') END AS texto FROM r LEFT JOIN kept USING (rec_idx)",
+}
