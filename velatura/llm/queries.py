@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.llm import overlap, percentiles, site_lines
-from velatura.session import table
+from velatura.llm import overlap, pairs, percentiles, repetition, site_lines, truncation
+from velatura.session import stage, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,63 @@ def p4_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_excess(table(spark, sf_dir, "prontuarios"), "rec_idx", "descricao", "unidade")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p4_found, p4_textos)}
+LOGS, SIMULATED, RUNS = "p02_brkga_logs_llm", "p02_brkga_simular_injection", "p02_logs_execucao"
+
+
+def _model_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log_id, modelo): the model of the session behind each log."""
+    logs = table(spark, sf_dir, LOGS, "id", "resultado_id")
+    results = table(spark, sf_dir, "p02_brkga_resultados", "id", "sessao_brkga_id").toDF("resultado_id", "sessao_id")
+    sessions = table(spark, sf_dir, "p02_brkga_sessoes", "id", "modelo_llm").toDF("sessao_id", "modelo")
+    return logs.join(results.join(sessions, "sessao_id"), "resultado_id", "left").select(F.col("id").alias("log_id"), "modelo")
+
+
+def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tabela, campo, id, modelo, cortado) of both fields."""
+    model = _model_of_log(spark, sf_dir)
+    a = table(spark, sf_dir, LOGS, "id", "resposta_bruta").select(F.lit(LOGS).alias("tabela"), F.lit("resposta_bruta").alias("campo"), "id", F.col("id").alias("log_id"), truncation.ending("resposta_bruta").alias("s"))
+    b = table(spark, sf_dir, SIMULATED, "id", "log_llm_id", "raciocinio").select(F.lit(SIMULATED).alias("tabela"), F.lit("raciocinio").alias("campo"), "id", F.col("log_llm_id").alias("log_id"), truncation.ending("raciocinio").alias("s"))
+    # the texts are read once; only their states go on
+    states = stage(a.unionByName(b).join(model, "log_id", "left"), "endings")
+    return truncation.cut(states, ["tabela", "campo", "modelo"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _endings(spark, sf_dir).where("cortado").select("tabela", "id", "campo")
+
+
+def p3_taxas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _endings(spark, sf_dir).groupBy("modelo", "tabela", "campo").agg(F.count("*").alias("valores"), F.count_if(F.col("s.estado") != "vazio").alias("com_conteudo"), F.count_if("cortado").alias("cortados"))
+
+
+def _reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetitive(_union_texts(spark, sf_dir, [(LOGS, "id", "raciocinio"), (RUNS, "id", "raciocinio")]))
+
+
+def _union_texts(spark: SparkSession, sf_dir: str, fields: list[tuple[str, str, str]]) -> DataFrame:
+    """(src, id, text) of several text fields."""
+    out = None
+    for name, key, text in fields:
+        df = table(spark, sf_dir, name, key, text).select(F.lit(name).alias("src"), F.col(key).alias("id"), F.col(text).alias("text"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasoning(spark, sf_dir).where("repetitivo").select(F.col("src").alias("tabela"), "id")
+
+
+def p6_parcelas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasoning(spark, sf_dir).select(F.col("src").alias("tabela"), "id", F.col("coberto").alias("parcela_repetida"), "regra")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, SIMULATED, "id", "prompt_enviado", "resposta_bruta").select(F.lit(SIMULATED).alias("source"), "id", F.col("prompt_enviado").alias("prompt"), F.col("resposta_bruta").alias("answer"))
+    b = table(spark, sf_dir, LOGS, "id", "texto_pre_llm", "resposta_bruta").select(F.lit(LOGS).alias("source"), "id", F.col("texto_pre_llm").alias("prompt"), F.col("resposta_bruta").alias("answer"))
+    return pairs.defective(a.unionByName(b)).withColumnRenamed("source", "tabela")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p6_found, p6_parcelas, p7_found)}
 _LINES = r"""
 WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
 tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),
