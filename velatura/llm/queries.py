@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.llm import overlap, pairs, percentiles, repetition, site_lines, truncation
+from velatura.llm import overlap, pairs, percentiles, repetition, sentences, site_lines, truncation
 from velatura.session import stage, table
 
 
@@ -100,7 +100,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective(a.unionByName(b)).withColumnRenamed("source", "tabela")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p6_found, p6_parcelas, p7_found)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "inicio", "fim")
+
+
+def p10_unidades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", with_text=True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p6_found, p6_parcelas, p7_found, p10_found, p10_unidades)}
 _LINES = r"""
 WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
 tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),
