@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.llm import overlap, pairs, percentiles, repetition, sentences, site_lines, truncation
+from velatura.llm import overlap, pairs, percentiles, personal, repetition, sentences, site_lines, truncation
 from velatura.session import stage, table
 
 
@@ -86,6 +86,19 @@ def _union_texts(spark: SparkSession, sf_dir: str, fields: list[tuple[str, str,
     return out
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _union_texts(spark, sf_dir, [("prontuarios", "rec_idx", "descricao"), ("dataset_registros", "id", "text"), ("documents", "doc_id", "text")])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(_notes(spark, sf_dir), table(spark, sf_dir, "p02_conhecimento"))
+    return found.select(F.col("src").alias("tabela"), F.col("id").alias("row_id"), "tipo", "inicio", "fim")
+
+
+def p5_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(_notes(spark, sf_dir), table(spark, sf_dir, "p02_conhecimento")).select(F.col("src").alias("tabela"), F.col("id").alias("row_id"), "texto")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reasoning(spark, sf_dir).where("repetitivo").select(F.col("src").alias("tabela"), "id")
 
@@ -108,7 +121,7 @@ def p10_unidades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p6_found, p6_parcelas, p7_found, p10_found, p10_unidades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p10_found, p10_unidades)}
 _LINES = r"""
 WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
 tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),
