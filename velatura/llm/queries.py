@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velatura.llm import overlap, pairs, percentiles, personal, repetition, sentences, site_lines, truncation
+from velatura.llm import bpe, mixing, overlap, pairs, percentiles, personal, repetition, sentences, site_lines, truncation
 from velatura.session import stage, table
 
 
@@ -113,6 +113,37 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective(a.unionByName(b)).withColumnRenamed("source", "tabela")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p8_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded again."""
+    return bpe.decode(p8_ids(spark, sf_dir), "doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "tipo_documento")
+    sizes = bpe.token_counts(docs, "doc_id", "text")
+    rows = docs.select("doc_id", "source", "lang", "tipo_documento").join(sizes, "doc_id").toDF("id", "source", "lang", "domain", "tokens")
+    sized, targets = stage(rows, "mix-sizes"), table(spark, sf_dir, "mix_targets")
+    total = sized.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("tokens")).first()[0] if whole else None
+    return mixing.mix(sized, targets, total)
+
+
+def p9_mistura(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_parcelas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, sf_dir))
+
+
+def p9_parcelas_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the listed sources have: short sources repeat, then pass their shortage on."""
+    return mixing.shares(*_mix(spark, sf_dir, whole=True))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "inicio", "fim")
 
@@ -121,7 +152,7 @@ def p10_unidades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p10_found, p10_unidades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p8_ids, p8_textos, p9_mistura, p9_parcelas, p9_parcelas_corpus, p10_found, p10_unidades)}
 _LINES = r"""
 WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
 tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),
@@ -130,6 +161,7 @@ k AS (SELECT rec_idx, unidade, linha, line, CASE WHEN regexp_matches(line, '\p{L
 big AS (SELECT k.unidade, k.key FROM k JOIN tot ON k.unidade IS NOT DISTINCT FROM tot.unidade WHERE key IS NOT NULL GROUP BY k.unidade, k.key, tot.total HAVING count(DISTINCT rec_idx) >= 10 AND count(DISTINCT rec_idx) >= 0.05 * tot.total - 1e-9)
 """
 SQL: dict[str, str] = {
+    "p8_textos": "SELECT doc_id, coalesce(text, '') AS texto FROM documents",
     "p2_contagens": "SELECT resultado_id, 'eval_tokens_per_second' AS metrica, CAST(count(*) AS BIGINT) AS n FROM p02_brkga_logs_llm WHERE eval_tokens_per_second IS NOT NULL AND NOT isnan(eval_tokens_per_second) GROUP BY 1 UNION ALL SELECT resultado_id, 'total_duration_sec', CAST(count(*) AS BIGINT) FROM p02_brkga_logs_llm WHERE total_duration_sec IS NOT NULL AND NOT isnan(total_duration_sec) GROUP BY 1",
     "p4_found": _LINES + "SELECT k.rec_idx, CAST(k.linha AS INTEGER) AS linha FROM k JOIN big ON k.unidade IS NOT DISTINCT FROM big.unidade AND k.key = big.key",
     "p4_textos": _LINES + ", kept AS (SELECT k.rec_idx, string_agg(k.line, chr(10) ORDER BY k.linha) AS texto FROM k LEFT JOIN big ON k.unidade IS NOT DISTINCT FROM big.unidade AND k.key = big.key WHERE big.key IS NULL GROUP BY k.rec_idx) SELECT r.rec_idx, CASE WHEN r.descricao IS NULL THEN NULL ELSE coalesce(kept.texto, '') END AS texto FROM r LEFT JOIN kept USING (rec_idx)",
