@@ -30,8 +30,8 @@ def clean_inline(df: DataFrame, text_col: str = "text", labels_col: str = "label
         name = F.concat(F.lit(r"\Q"), x["s"], F.lit(r"\E"))
         before = F.substring(text, F.greatest(x["a"] - 50, F.lit(0)) + 1, F.least(x["a"], F.lit(50)))
         after = F.substring(text, x["b"] + 1, F.lit(50))
-        opening = F.regexp_extract(before, F.concat(F.lit("(<"), name, F.lit(r"\b[^>]*>)$")), 1)
-        closing = F.regexp_extract(after, F.concat(F.lit("^(</"), name, F.lit(r"\b[^>]*>)")), 1)
+        opening = F.call_function("regexp_extract", before, F.concat(F.lit("(<"), name, F.lit(r"\b[^>]*>)$")), F.lit(1))
+        closing = F.call_function("regexp_extract", after, F.concat(F.lit("^(</"), name, F.lit(r"\b[^>]*>)")), F.lit(1))
         gap = F.substring(text, acc["at"] + 1, F.greatest(x["a"] - acc["at"] - F.length(opening), F.lit(0)))
         lead = F.regexp_extract(x["w"], r"(?U)^(\s+)", 1)
         word = strip(x["w"])

@@ -52,7 +52,7 @@ def register(knowledge: DataFrame, found: DataFrame, order: list[str]) -> DataFr
     A known review term is promoted: its review row goes when a definitive kind arrives.
     """
     new = found.withColumn("texto_original", strip(F.col("texto_original"))).where("texto_original <> ''")
-    new = first_occurrences(new, order)
+    new = stage(first_occurrences(new, order), "first-seen")
     rank = F.array_position(F.array(*[F.lit(k) for k in PRIORITY]), F.col("tipo"))
     unique = F.col("tipo").isin(*PRIORITY)
     won = new.where(unique).groupBy("sessao_id", "texto_original").agg(F.min_by("tipo", F.struct("primeiro", rank)).alias("tipo"), F.min("primeiro").alias("primeiro"))

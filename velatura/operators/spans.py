@@ -1,8 +1,8 @@
 """Dictionary spans: one candidate builder, two ways to resolve overlaps, masks.
 
-A term can only begin, at a word boundary, with its first alphanumeric run as a whole
-token of the record. So records are cut into tokens with their places, and an equi-join on
-that first run finds every candidate place; a substring test and the boundary test follow.
+The alphanumeric runs of a term that stands between word boundaries are whole tokens of the
+record. So records are cut into tokens with their places, and an equi-join on the leading
+runs finds every candidate place; a substring test and the boundary test follow.
 Terms without an alphanumeric character find nothing.
 """
 
@@ -40,26 +40,38 @@ def _edge_free(text: Column, ini: Column, fim: Column, word: str) -> Column:
     return ((ini == 0) | ~before.rlike(f"^{one}$")) & ~after.rlike(f"^{one}$")
 
 
+def _runs_key(runs: Column, n: Column) -> Column:
+    """Hash of the number of leading runs that count (up to three) and the runs."""
+    return F.xxhash64(n, F.array_join(F.slice(runs, F.lit(1), n), "|"))
+
+
 def dictionary_spans(records: DataFrame, terms: DataFrame, id_col: str = "rec_idx", text_col: str = "texto", word: str = ALNUM) -> DataFrame:
     """(id, ini, fim, + the columns of ``terms``): all bounded occurrences, any letter case.
 
     ``terms`` has ``termo``; null and empty terms find nothing, repeated terms are found
-    once for each row of ``terms``.
+    once for each row of ``terms``. Terms are joined on the hash of their first three
+    alphanumeric runs (fewer if they have fewer); only places and hashes go through that
+    join, and each record's candidates are then tested against its text.
     """
     extra = [c for c in terms.columns if c != "termo"]
-    t = terms.where("termo <> ''").select(
-        *[F.col(c) for c in extra],
-        F.col("termo"),
-        F.lower("termo").alias("t_low"),
-        F.regexp_extract(F.lower("termo"), word, 0).alias("tok"),
-    ).withColumn("off", F.expr("IF(tok = '', -1, instr(t_low, tok) - 1)"))
+    t = terms.where("termo <> ''").select(*extra, "termo", F.lower("termo").alias("t_low"), F.regexp_extract_all(F.lower("termo"), F.lit(word), F.lit(0)).alias("runs"))
+    t = t.where(F.size("runs") > 0).withColumn("h", _runs_key(F.col("runs"), F.least(F.size("runs"), F.lit(3)))).withColumn("off", F.expr("instr(t_low, runs[0]) - 1")).drop("runs")
     text = F.col(text_col)
-    toks = records.where(text.isNotNull()).select(F.col(id_col).alias("_id"), text.alias("_t"), F.lower(text).alias("_low"), F.explode(token_places(F.lower(text), word)).alias("k"))
-    toks = toks.select("_id", "_t", "_low", F.col("k.tok").alias("tok"), F.col("k.at").alias("at"))
-    hit = toks.join(t.where("off >= 0"), "tok").withColumn("ini", F.col("at") - F.col("off")).withColumn("fim", F.col("ini") + F.length("t_low"))
-    hit = hit.where((F.col("ini") >= 0) & (F.substring(F.col("_low"), F.col("ini") + 1, F.length("t_low")) == F.col("t_low")))
-    hit = hit.where(_edge_free(F.col("_t"), F.col("ini"), F.col("fim"), word))
-    return hit.select(F.col("_id").alias(id_col), "ini", "fim", "termo", *extra)
+    toks = records.where(text.isNotNull()).select(F.col(id_col).alias("_id"), token_places(F.lower(text), word).alias("k"))
+    toks = toks.select("_id", "k", F.transform("k", lambda x: x["tok"]).alias("w"))
+    # up to three runs from each token on; only places and hashes leave the record
+    keys = F.transform("k", lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size("w") - i)), lambda n: F.struct(x["at"].alias("at"), F.xxhash64(n, F.array_join(F.slice("w", i + 1, n), "|")).alias("h"))))
+    toks = toks.select("_id", F.inline(F.flatten(keys)))
+    hit = toks.join(t, "h").select("_id", F.struct((F.col("at") - F.col("off")).alias("ini"), "t_low", "termo", *extra).alias("c")).where("c.ini >= 0")
+    per = hit.groupBy("_id").agg(F.collect_list("c").alias("cs"))
+    rows = records.where(text.isNotNull()).select(F.col(id_col).alias("_id"), text.alias("_t"), F.lower(text).alias("_low")).join(per, "_id")
+
+    def real(c: Column) -> Column:
+        end = c["ini"] + F.length(c["t_low"])
+        return (F.substring(F.col("_low"), c["ini"] + 1, F.length(c["t_low"])) == c["t_low"]) & _edge_free(F.col("_t"), c["ini"], end, word)
+
+    found = rows.select("_id", F.explode(F.filter("cs", real)).alias("c"))
+    return found.select(F.col("_id").alias(id_col), F.col("c.ini").alias("ini"), (F.col("c.ini") + F.length("c.t_low")).alias("fim"), F.col("c.termo").alias("termo"), *[F.col(f"c.{x}").alias(x) for x in extra])
 
 
 def occurrences(text: Column, term: Column, toks: Column, word: str = ALNUM) -> Column:

@@ -9,6 +9,7 @@ from velatura.functions.patterns import PATTERNS, places
 from velatura.functions.text import quote
 from velatura.operators import knowledge as K
 from velatura.operators.spans import _SPAN, SCAN_CLASS, dictionary_spans, rebuild, resolve_leftmost, span
+from velatura.session import stage
 
 # The kind under which each pattern's terms are registered
 KIND_OF_PATTERN = {"CPF": "cpf", "DATA": "data", "DATA_EXTENSO": "data", "TEL": "tel", "CNS": "info", "EMAIL": "email"}
@@ -49,10 +50,12 @@ def apply_tags(records: DataFrame, known: DataFrame, ini: str, fim: str, kinds:
 
 def anonymise(records: DataFrame, known: DataFrame, session: int, ini: str, fim: str, id_col: str = "rec_idx", text_col: str = "texto") -> tuple[DataFrame, DataFrame]:
     """(texts with tags, knowledge): patterns first, then personal terms, then boilerplates."""
-    known = K.register(known.where(F.col("sessao_id") == session), pattern_terms(records, session, id_col, text_col), ["rec", "passo", "pos"])
-    known = K.register(known, case_variants(records, known, session, ["nome", "endereco", "info", "boilerplate"], id_col, text_col), ["rec", "passo", "pos"])
+    records = stage(records.select(id_col, text_col), "records")
+    known = stage(K.register(known.where(F.col("sessao_id") == session), pattern_terms(records, session, id_col, text_col), ["rec", "passo", "pos"]), "known")
+    variants = case_variants(records, known, session, ["nome", "endereco", "info", "boilerplate"], id_col, text_col)
+    known = stage(K.register(known, variants, ["rec", "passo", "pos"]), "known")
     personal = ["cpf", "tel", "email", "data", "nome", "endereco", "info"]
-    tagged = apply_tags(records, known, ini, fim, personal, id_col, text_col)
+    tagged = stage(apply_tags(records, known, ini, fim, personal, id_col, text_col), "tagged")
     return apply_tags(tagged, known, ini, fim, ["boilerplate"], id_col, text_col), known
 
 
