@@ -217,7 +217,10 @@ def repetitive(df: DataFrame, limit: float = 0.4, sample: int = SAMPLE, slack: f
 
     The list is learned for a limit lower by ``slack``; the exact share follows it.
     """
-    picked = df.where("length(text) >= 80").select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(sample).collect()
+    # the lowest hashes first, as numbers alone, then the few texts behind them
+    hashed = df.where("length(text) >= 80").select(F.xxhash64("text").alias("h"), "text")
+    lowest = [r.h for r in hashed.select("h").orderBy("h").limit(sample).collect()]
+    picked = hashed.where(F.col("h") <= lowest[-1]).dropDuplicates(["h"]).orderBy("h").collect() if lowest else []
     rules = learn(*labelled([r.text for r in picked], limit - slack)) if picked else []
     if not rules:
         rules = [[(0, True, limit - slack)]]
