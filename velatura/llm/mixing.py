@@ -2,8 +2,8 @@
 
 Hierarchical budgeting over a domain-language-source tree. A source's leaf lies under the
 domain and the language that most of its documents have. The total is given, or is the
-largest at which every source with tokens reaches its share within its repeats; then no
-source is short. With a larger total, what a leaf can't give is passed to its siblings
+largest at which every source with tokens reaches its share (of the shares of such sources)
+within its repeats; then no source is short. With a larger total, what a leaf can't give is passed to its siblings
 (sources of the same domain and language) by weight as far as they have room, then to the
 domain's other leaves, then to all.
 
@@ -55,6 +55,11 @@ def budgets(leaves: list[dict], total: float | None = None) -> list[dict]:
         x["weight"] = max(0.0, x["weight"] or 0.0)
         x["cap"] = float(x["size"] * max(0, x["repeats"] or 0))
     if total is None:
+        for x in leaves:
+            x["weight"] *= x["cap"] > 0
+        whole = sum(x["weight"] for x in leaves) or 1.0
+        for x in leaves:
+            x["weight"] /= whole
         total = min((x["cap"] / x["weight"] for x in leaves if x["weight"] > 0 and x["cap"] > 0), default=0.0)
     under: dict[tuple, list[dict]] = defaultdict(list)
     short: dict[tuple, float] = defaultdict(float)
@@ -83,11 +88,11 @@ def leaf_budgets(docs: DataFrame, targets: DataFrame, total: float | None = None
     rows = targets.groupBy("source").agg(F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats")).join(place, "source", "left").limit(MAX_LEAVES + 1).collect()
     if len(rows) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} sources")
-    leaves = [{"source": r.source, "domain": r.at.domain if r["at"] else "", "lang": r.at.lang if r["at"] else "", "size": r["size"] or 0, "weight": r.target_share, "repeats": r.max_repeats} for r in rows if r.source is not None]
+    leaves = [{"source": r.source, "domain": r.at.domain if r["at"] else "", "lang": r.at.lang if r["at"] else "", "size": r["size"] or 0, "weight": r.target_share, "share": r.target_share, "repeats": r.max_repeats} for r in rows if r.source is not None]
     out = []
     for x in budgets(leaves, total):
         full = int((x["budget"] + 1e-6) // x["size"]) if x["size"] else 0
-        out.append((x["source"], x["domain"], x["lang"], x["weight"], x["repeats"], x["size"], x["budget"], full, max(0.0, x["budget"] - full * x["size"])))
+        out.append((x["source"], x["domain"], x["lang"], x["share"], x["repeats"], x["size"], x["budget"], full, max(0.0, x["budget"] - full * x["size"])))
     return docs.sparkSession.createDataFrame(out, _LEAF)
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 BITS = 32
 SPREAD = 16
 _FLUSH = 400_000
+_NULL = "\x01"
 
 
 def leaf_of(values: np.ndarray) -> np.ndarray:
@@ -46,6 +47,10 @@ def value_of(leaf: np.ndarray) -> np.ndarray:
     return bits.view(np.float32).astype(np.float64)
 
 
+#: The codes of the infinities: an end of a folded node may lie beyond them.
+_ENDS = tuple(leaf_of(np.array([-np.inf, np.inf])).tolist())
+
+
 def _sum(group: np.ndarray, node: np.ndarray, count: np.ndarray):
     if not len(node):
         return group, node, count
@@ -133,7 +138,7 @@ def _recompress(k: int):
         rest = None
         for b in batches:  # sorted by group: only the last group of a batch may go on
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            key = b["metrica"] + "|" + b["grupo"].fillna("\0")
+            key = b["metrica"] + "|" + b["grupo"].fillna(_NULL)
             last = (key == key.iloc[-1]).to_numpy()
             rest, whole = b[last], b[~last]
             if len(whole):
@@ -142,10 +147,10 @@ def _recompress(k: int):
             yield fold(rest)
 
     def fold(b: pd.DataFrame) -> pd.DataFrame:
-        keys, names = pd.factorize(b["metrica"] + "|" + b["grupo"].fillna("\0"))
+        keys, names = pd.factorize(b["metrica"] + "|" + b["grupo"].fillna(_NULL))
         g, v, c = compress(keys.astype(np.int64), b["no"].to_numpy(np.int64), b["n"].to_numpy(np.int64), k)
         m, n = zip(*(x.split("|", 1) for x in names))
-        return pd.DataFrame({"grupo": pd.Series([None if n[i] == "\0" else n[i] for i in g], dtype=object), "metrica": [m[i] for i in g], "no": v, "n": c})
+        return pd.DataFrame({"grupo": pd.Series([None if n[i] == _NULL else n[i] for i in g], dtype=object), "metrica": [m[i] for i in g], "no": v, "n": c})
 
     return run
 
@@ -166,11 +171,11 @@ def _read(quantiles: list[float], eps: float):
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            key = b["metrica"] + "|" + b["grupo"].fillna("\0")
+            key = b["metrica"] + "|" + b["grupo"].fillna(_NULL)
             last = (key == key.iloc[-1]).to_numpy()
             rest, whole = b[last], b[~last]
             if len(whole):
-                yield pd.concat([one(x) for _, x in whole.groupby(["metrica", whole["grupo"].fillna("\0")])])
+                yield pd.concat([one(x) for _, x in whole.groupby(["metrica", whole["grupo"].fillna(_NULL)])])
         if rest is not None and len(rest):
             yield one(rest)
 
@@ -183,7 +188,7 @@ def _read(quantiles: list[float], eps: float):
         n = int(upto[-1])
         at = np.searchsorted(upto, [max(1, ceil(q * n - 1e-9)) for q in quantiles])
         row = {"grupo": b["grupo"].iloc[0], "metrica": b["metrica"].iloc[0], "n": n, "erro_posto": int(BITS * (n // ceil(BITS / eps)))}
-        return pd.DataFrame([row | {f"p{round(q * 1000):04d}": x for q, x in zip(quantiles, value_of(high[at]))}])
+        return pd.DataFrame([row | {f"p{round(q * 1000):04d}": x for q, x in zip(quantiles, value_of(np.clip(high[at], *_ENDS)))}])
 
     return run
 

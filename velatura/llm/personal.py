@@ -273,7 +273,7 @@ def _name_votes(text: str, s: int, e: int, first: bool, titled: bool, lead: bool
     return ("NAME", s, e, (int(titled), int(lead), 1 if _RIGHT.match(right) else 0, 1 if first else -1, last, negative))
 
 
-def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = 100, prior: float = 0.6, trust: tuple[float, ...] = TRUST, strength: float = 1.0) -> dict[tuple[int, ...], float]:
+def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = 100, prior: float = 0.6, trust: tuple[float, ...] = TRUST, strength: float = 3.0) -> dict[tuple[int, ...], float]:
     """Posterior of each vote pattern from its count, by expectation-maximisation.
 
     A labeler abstains whatever the truth is; when it votes, it is right with a chance of

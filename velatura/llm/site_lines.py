@@ -55,13 +55,15 @@ def excess_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, min
         counts.agg(F.sum("k")).first()[0] or 0,
         everywhere.count(),
     )
-    ordinary = k_sum / max(1, n_keys) / max(1, n_all)
     tests = counts.join(totals, "src").join(everywhere, "key")
     a, n = F.col("k").cast("double"), F.col("total").cast("double")
     b, m = (F.col("k_all") - F.col("k")).cast("double"), (F.lit(float(n_all)) - F.col("total"))
+    # the mean of the other lines; a source that is (nearly) alone meets an outside of its own size
+    ordinary = (F.lit(float(k_sum)) - F.col("k_all")) / max(1, n_keys - 1) / max(1, n_all)
+    out = F.greatest(m, n)
     same = F.when((m > 0) & (a * m > b * n), _g(a, n, b, m)).otherwise(F.lit(0.0))
-    usual = F.when(a > n * ordinary, _g(a, n, m * ordinary, F.greatest(m, F.lit(1.0)))).otherwise(F.lit(0.0))
-    tests = tests.select("src", "key", "k", "total", (F.greatest(same, usual)).alias("g"))
+    usual = F.when(a > n * ordinary, _g(a, n, out * ordinary, out)).otherwise(F.lit(0.0))
+    tests = tests.select("src", "key", "k", "total", F.greatest(same, usual).alias("g"))
     # histogram of the statistic in steps of 0.1 up to 2000: bounded, whatever the corpus
     hist = {r.step: r["n"] for r in tests.groupBy(F.least(F.floor(F.col("g") * 10), F.lit(20000)).alias("step")).agg(F.count("*").alias("n")).collect()}
     n_tests, above, least = sum(hist.values()), 0, inf
