@@ -9,7 +9,7 @@ from velatura.config import LoopSettings
 from velatura.functions import patterns, text
 from velatura.operators import extractor, goldlabels, knowledge, lattice, ngrams, scoring, spans, tags, views
 from velatura.plans import pipeline
-from velatura.session import shared_dir, stage, table
+from velatura.session import shared_dir, spread, stage, table
 from velatura.streaming import loops
 
 LOGS, SIMULATED, RUNS, RESULTS, TERMS = "p02_brkga_logs_llm", "p02_brkga_simular_injection", "p02_logs_execucao", "p02_brkga_resultados", "p02_conhecimento"
@@ -40,7 +40,7 @@ _KINDS = ", ".join(f"('{k}')" for k in _RE2)
 
 @query(f"SELECT k.padrao, CAST(count(f.termo) AS BIGINT) AS total, CAST(count(DISTINCT f.termo) AS BIGINT) AS termos, CAST(count(DISTINCT f.doc) AS BIGINT) AS registros FROM (VALUES {_KINDS}) k(padrao) LEFT JOIN ({_FOUND}) f USING (padrao) GROUP BY 1")
 def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.pattern_counts(table(spark, d, "prontuarios", "rec_idx", "descricao"), "rec_idx", "descricao")
+    return patterns.pattern_counts(spread(table(spark, d, "prontuarios", "rec_idx", "descricao")), "rec_idx", "descricao")
 
 
 @query(f"SELECT doc AS rec_idx, padrao, termo, CAST(count(*) AS BIGINT) AS n FROM ({_FOUND}) GROUP BY ALL")
@@ -134,14 +134,14 @@ k AS (SELECT DISTINCT texto_original AS termo, lower(texto_original) AS low, ' '
 SELECT rec_idx, termo FROM r, k WHERE contains(r.t, k.low) AND contains(r.b, k.b)
 """)
 def dictionary_hits(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "prontuarios", "rec_idx", "descricao").withColumnRenamed("descricao", "texto")
+    records = spread(table(spark, d, "prontuarios", "rec_idx", "descricao")).withColumnRenamed("descricao", "texto")
     terms = table(spark, d, TERMS, "texto_original").select(F.col("texto_original").alias("termo")).distinct()
     return spans.dictionary_spans(records, terms).select("rec_idx", "termo").distinct()
 
 
 @query()
 def mask_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "prontuarios", "rec_idx", "descricao").withColumnRenamed("descricao", "texto")
+    records = spread(table(spark, d, "prontuarios", "rec_idx", "descricao")).withColumnRenamed("descricao", "texto")
     return spans.masks(records, table(spark, d, TERMS), ("*", "#"))
 
 
@@ -151,7 +151,7 @@ def mask_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "prontuarios", "rec_idx", "descricao").select("rec_idx", text.clean_record(F.col("descricao")).alias("texto"))
+    return spread(table(spark, d, "prontuarios", "rec_idx", "descricao")).select("rec_idx", text.clean_record(F.col("descricao")).alias("texto"))
 
 
 def _session(spark: SparkSession, d: str, session: int) -> DataFrame:
@@ -230,7 +230,7 @@ def _ngram_sql(n: int, source: str = "t") -> str:
 
 @query(f"WITH {_TOKENS}, {_ngram_sql(10)} SELECT frase, CAST(count(*) AS BIGINT) AS total, CAST(count(DISTINCT subject) AS BIGINT) AS pacientes FROM g GROUP BY 1 HAVING count(DISTINCT subject) >= 5")
 def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
-    frags = ngrams.corpus(table(spark, d, "prontuarios"), "prontuario", "descricao", "rec_idx")
+    frags = ngrams.corpus(spread(table(spark, d, "prontuarios", "rec_idx", "prontuario", "descricao")), "prontuario", "descricao", "rec_idx")
     return ngrams.candidates(frags, 10, 5).select("frase", "total", "pacientes")
 
 
@@ -239,7 +239,7 @@ _PHRASE = "nega alergias medicamentosas"
 
 @query(rf"WITH {_TOKENS}, c AS (SELECT subject, unnest(string_split(regexp_replace(array_to_string(w, ' '), '(^|[^\p{{L}}\p{{N}}_])nega alergias medicamentosas($|[^\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM t), u AS (SELECT subject, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM c), {_ngram_sql(4, 'u')} SELECT frase, CAST(count(*) AS BIGINT) AS total, CAST(count(DISTINCT subject) AS BIGINT) AS pacientes FROM g GROUP BY 1 HAVING count(DISTINCT subject) >= 5")
 def ngram_after_removal(spark: SparkSession, d: str) -> DataFrame:
-    frags = ngrams.corpus(table(spark, d, "prontuarios"), "prontuario", "descricao", "rec_idx")
+    frags = ngrams.corpus(spread(table(spark, d, "prontuarios", "rec_idx", "prontuario", "descricao")), "prontuario", "descricao", "rec_idx")
     return ngrams.candidates(ngrams.without_phrases(frags, [_PHRASE]), 4, 5).select("frase", "total", "pacientes")
 
 
@@ -342,7 +342,7 @@ SELECT id, CASE WHEN len(w) < 3 THEN 0.0 ELSE 1 - len(list_distinct(list_transfo
 def repeated_ratio(spark: SparkSession, d: str) -> DataFrame:
     w = F.filter(F.split("raciocinio", r"(?U)\s+"), lambda x: x != "")
     g = ngrams.grams(F.col("w"), 3)
-    rows = table(spark, d, LOGS, "id", "raciocinio").where("raciocinio IS NOT NULL").select("id", w.alias("w"))
+    rows = spread(table(spark, d, LOGS, "id", "raciocinio")).where("raciocinio IS NOT NULL").select("id", w.alias("w"))
     return rows.select("id", F.when(F.size("w") < 3, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)).alias("repetido"))
 
 
@@ -355,7 +355,7 @@ def exact_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def loop_detect_batch(spark: SparkSession, d: str) -> DataFrame:
-    return loops.detect_texts(table(spark, d, LOGS, "id", "raciocinio"), "id", "raciocinio", chunk=20)
+    return loops.detect_texts(spread(table(spark, d, LOGS, "id", "raciocinio")), "id", "raciocinio", chunk=20)
 
 
 @query()

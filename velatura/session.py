@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if the scan has fewer partitions than there are cores.
+
+    For work that costs far more a row than moving the row does, on inputs of a few
+    files. A scan with enough partitions is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for stage tables: ``spark.checkpoint.dir`` of the session.
 
