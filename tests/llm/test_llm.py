@@ -102,7 +102,7 @@ def test_percentiles_small_groups_are_exact_and_empty_ones_missing(spark):
 @pytest.mark.parametrize(
     "text, want",
     [
-        (None, "vazio"), ("  ", "vazio"), ("```json\n```", "vazio"), ("null", "vazio"), ("[]", "vazio"), ("...", "vazio"),
+        (None, "vazio"), ("  ", "vazio"), ("```json\n```", "vazio"), ("null", "vazio"), ("[]", "vazio"), ("...", "vazio"), ("\n" * 900, "vazio"), ("-" * 900, "vazio"),
         ('{"map_nomes": []}', "inteiro"), ('```json\n{"a": [1]}\n```', "inteiro"), ('{"a": "x \\" y"}\nObs.: nada.', "inteiro"),
         ('{"a": ["b"', "estrutura"), ('{"a": "b', "estrutura"), ('{"a": "\\u00', "estrutura"), ('```json\n{"a": 1}', "estrutura"), ('{"a": 1}\nObs.: mar', "aberto"),
         ("Terminou bem.", "inteiro"), ("Encerrado…", "inteiro"), ("Restou dúvida? Não.", "inteiro"), ("Vou entregar o objeto:", "inteiro"), ("终于完成。", "inteiro"), ('Ele disse "sim."', "inteiro"),

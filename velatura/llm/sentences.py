@@ -21,6 +21,7 @@ Null and blank texts have no units. Places count code points.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,6 +56,12 @@ def _masked(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _ADDRESS.finditer(text)] if "@" in text or "＠" in text or "arroba" in text or "(at)" in text or "://" in text or "www." in text else []
 
 
+def _covers(spans: list[tuple[int, int]], s: int) -> tuple[int, int] | None:
+    """The span of a sorted list without overlaps that holds the place."""
+    k = bisect_right(spans, (s, 1 << 60)) - 1
+    return spans[k] if k >= 0 and s < spans[k][1] else None
+
+
 def _stops(text: str):
     """(start, end, marks, word before, next character's place) of the full stops outside of marks."""
     n = len(text)
@@ -75,9 +82,9 @@ def stop_counts(text: str | None) -> Counter:
     found: Counter = Counter()
     if not text or "." not in text:
         return found
-    inside = [m.span() for m in _SPANS.finditer(text)] + _masked(text)
+    quoted, addresses = [m.span() for m in _SPANS.finditer(text)], _masked(text)
     for s, e, marks, nxt in _stops(text):
-        if marks != "." or nxt == e or nxt >= len(text) or any(a <= s < b for a, b in inside):
+        if marks != "." or nxt == e or nxt >= len(text) or _covers(quoted, s) or _covers(addresses, s):
             continue
         w = _word_before(text, s)
         if 0 < len(w) <= 12 and not w[-1].isdigit():
@@ -106,7 +113,8 @@ def units(text: str | None, known: Known = Known()) -> list[tuple[int, int]]:
             if _line_ends(text, s, e, marks):
                 cuts.append(e)
             continue
-        if any(a <= s and e <= b - 1 for a, b in addresses):
+        held = _covers(addresses, s)
+        if held and e <= held[1] - 1:
             continue
         while k < len(spans) and spans[k][1] <= s:
             k += 1
@@ -128,7 +136,7 @@ def units(text: str | None, known: Known = Known()) -> list[tuple[int, int]]:
         if _is_end(text, s, e, marks, close, nxt, here, lower, known, small):
             cuts.append(close)
     if _UNSPACED.search(text):
-        cuts = sorted(set(cuts) | {m.end() for m in _THAI_GAP.finditer(text) if not any(a < m.start() < b for a, b in spans)})
+        cuts = sorted(set(cuts) | {m.end() for m in _THAI_GAP.finditer(text) if not _covers(spans, m.start())})
     out, at = [], 0
     for c in [*cuts, n]:
         s, e = at, c

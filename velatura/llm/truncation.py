@@ -43,13 +43,11 @@ _ALNUM = re.compile(r"[^\W_]+")
 
 def is_empty(text: str | None) -> bool:
     """No real content; a structure with named keys counts as content."""
-    if text is None:
+    if text is None or not _ALNUM.search(text):
         return True
     if len(text) > 400:
         return False
     words = _ALNUM.findall(text.casefold())
-    if not words:
-        return True
     return len(words) <= 3 and "".join(words) in PLACEHOLDERS or words == ["json", "null"]
 
 
