@@ -283,7 +283,7 @@ def _reference_ids(texts):
 
 def test_encoding_equals_the_tokenizer(spark):
     rng = random.Random(6)
-    texts = ["Hello world", "", None, "  ", "não é\n\n fim  ", "<|endoftext|> <s>", "体温は36.1度、脈拍", "don't I'll 1234567", "😀👩‍👩‍👧 x", "a" * 500, "รักษา", " x​", "é"]
+    texts = ["Hello world", "", None, "  ", "não é\n\n fim  ", "<|endoftext|> <s>", "体温は36.1度、脈拍", "don't I'll 1234567", "😀👩‍👩‍👧 x", "a" * 5_000, "รักษา" * 200, "".join(rng.choice("abcdeé中") for _ in range(1200)), "รักษา", " x​", "é"]
     texts += ["".join(rng.choice(" abcdefé'ñ1239\n\t-_=中あ😀") for _ in range(rng.randint(1, 60))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit(1))
     enc = bpe.encode(df, "doc_id", "text")

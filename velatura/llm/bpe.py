@@ -8,8 +8,7 @@ literal of the plan: ``BUCKETS`` small maps, the bucket being a hash of the piec
 
 Words that are a piece themselves take its rank from the vocabulary (a fixed table of some
 50,000 rows). The ids of the other distinct words are joined back to the documents'
-words; each document counts a word once, with all its places, and hot words are spread
-over ``SPREAD`` copies. Decoding joins ids to pieces and concatenates their bytes.
+words, hot words spread over ``SPREAD`` copies. Decoding joins ids to pieces and concatenates their bytes.
 
 Null and empty texts have an empty list of ids. Strings that look like control tokens are
 ordinary text. The vocabulary file is a parameter; it isn't part of this repository.
@@ -29,6 +28,8 @@ from velatura.session import stage
 
 BUCKETS = 8192
 SPREAD = 8
+#: Bytes from which a word's merges are done by pairs instead of by places.
+LONG_WORD = 256
 #: The pre-tokenizer of the byte-level vocabularies, in Java's dialect.
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,6 +76,11 @@ def bytes_of(text: Column) -> Column:
 _NONE = 2147483647
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's body has no common subexpressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def merged(word: Column, table: Column) -> Column:
     """Pieces of a byte word, by ranked merges."""
     rank = lambda a, b: F.coalesce(F.element_at(F.element_at(table, _bucket_of(F.concat(a, b)) + 1), F.concat(a, b)), F.lit(_NONE))
@@ -83,25 +89,53 @@ def merged(word: Column, table: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, 1), F.substring(word, i + 1, 1)))
     start = F.struct(parts.alias("p"), F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")).alias("r"))
 
+    none = F.array().cast("array<int>")
+
     def step(acc: Column, _: Column) -> Column:
         p, r = acc["p"], acc["r"]
-        low = F.array_min(r)
-        i = F.array_position(r, low).cast("int")  # the leftmost of the lowest
-        new = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
-        size = F.size(p)
-        left = F.when(i > 1, F.concat(F.slice(r, 1, i - 2), F.array(rank(F.element_at(p, i - 1), new)))).otherwise(F.array().cast("array<int>"))
-        right = F.when(i + 1 < size, F.concat(F.array(rank(new, F.element_at(p, i + 2))), F.slice(r, i + 2, size))).otherwise(F.array().cast("array<int>"))
-        joined = F.struct(F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, size)).alias("p"), F.concat(left, right).alias("r"))
-        return F.when((F.size(r) > 0) & (low < _NONE), joined).otherwise(acc)
+
+        def merge(i: Column, new: Column) -> Column:
+            size = F.size(p)
+            left = F.when(i > 1, F.concat(F.slice(r, 1, i - 2), F.array(rank(F.element_at(p, i - 1), new)))).otherwise(none)
+            right = F.when(i + 1 < size, F.concat(F.array(rank(new, F.element_at(p, i + 2))), F.slice(r, i + 2, size))).otherwise(none)
+            return F.struct(F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, size)).alias("p"), F.concat(left, right).alias("r"))
+
+        at = lambda low: F.array_position(r, low).cast("int")  # the leftmost of the lowest
+        return _let(F.array_min(r), lambda low: F.when(low < _NONE, _let(at(low), lambda i: _let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), lambda new: merge(i, new)))).otherwise(acc))
 
     return F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), start, step)["p"]
 
 
+def merged_long(word: Column, table: Column) -> Column:
+    """The same for a long word: each step merges every place of the lowest pair at once.
+
+    The pieces stand in one text, each between two marks, so a step is one replacement, and
+    there are as many steps as different merges instead of as many as bytes. A pair's joined
+    piece never ranks below the pair's own merge, so the order of merges is the same.
+    """
+    a, z = "\u0201", "\u0202"
+    rank = lambda x, y: F.coalesce(F.element_at(F.element_at(table, _bucket_of(F.concat(x, y)) + 1), F.concat(x, y)), F.lit(_NONE))
+    pieces = lambda t: F.split(F.substring(t, F.lit(2), F.length(t) - 2), z + a)
+    whole = F.concat(F.lit(a), F.array_join(F.split(word, ""), z + a), F.lit(z))
+    start = F.struct(whole.alias("t"), F.lit(False).alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        pairs = _let(pieces(acc["t"]), lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda x, y: F.struct(rank(x, y).alias("r"), x.alias("x"), y.alias("y"))))
+
+        def merge(low: Column) -> Column:
+            found = F.coalesce(low["r"] < _NONE, F.lit(False))
+            joined = F.replace(acc["t"], F.concat(F.lit(a), low["x"], F.lit(z + a), low["y"], F.lit(z)), F.concat(F.lit(a), low["x"], low["y"], F.lit(z)))
+            return F.struct(F.when(found, joined).otherwise(acc["t"]).alias("t"), (~found).alias("done"))
+
+        return F.when(acc["done"], acc).otherwise(_let(F.array_min(pairs), merge))
+
+    return pieces(F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["t"])
+
+
 def words_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, w, at): each document's distinct words, as bytes, with their places."""
+    """(doc, pos, w): the words of each document, as bytes, in order."""
     rows = df.select(F.col(id_col).alias("doc"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORDS), F.lit(0))).alias("pos", "word"))
-    # the places of a document's word; a document stays in its task until here
-    return rows.groupBy("doc", "word").agg(F.collect_list("pos").alias("at")).select("doc", bytes_of(F.col("word")).alias("w"), "at")
+    return rows.select("doc", "pos", bytes_of(F.col("word")).alias("w"))
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
@@ -111,7 +145,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     distinct = words.select("w").distinct()
     known = distinct.join(F.broadcast(vocab), distinct["w"] == vocab["piece"], "left").select("w", "rank")
     known = stage(known, "bpe-words")
-    rest = known.where("rank IS NULL").select("w", F.posexplode(merged(F.col("w"), rank_map(spark, path))).alias("k", "piece"))
+    rest = known.where("rank IS NULL").select("w", F.posexplode(F.when(F.length("w") <= LONG_WORD, merged(F.col("w"), rank_map(spark, path))).otherwise(merged_long(F.col("w"), rank_map(spark, path)))).alias("k", "piece"))
     ids = rest.join(F.broadcast(vocab), "piece").groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rank"))), lambda x: x["rank"]).alias("ids"))
     return known.where("rank IS NOT NULL").select("w", F.array("rank").alias("ids")).unionByName(ids)
 
@@ -122,7 +156,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -
     words = stage(words_of(df, id_col, text_col), "bpe-doc-words")
     table = encoded_words(words, path).withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])))
     spread = words.withColumn("copy", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int"))
-    found = spread.join(table, ["w", "copy"]).select("doc", F.explode("at").alias("pos"), "ids")
+    found = spread.join(table, ["w", "copy"]).select("doc", "pos", "ids")
     lists = found.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     base = df.select(F.col(id_col).alias("doc"))
     return base.join(lists, "doc", "left").select(F.col("doc").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
@@ -133,7 +167,8 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str | None = N
     path = path or default_path()
     words = stage(words_of(df, id_col, text_col), "bpe-doc-words")
     table = encoded_words(words, path).select("w", F.size("ids").alias("k")).withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])))
-    spread = words.select("doc", "w", F.size("at").alias("n"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int").alias("copy"))
+    # a word counts once in a document, however often it stands there
+    spread = words.groupBy("doc", "w").agg(F.count("*").alias("n")).withColumn("copy", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int"))
     sums = spread.join(table, ["w", "copy"]).groupBy("doc").agg(F.sum(F.col("n") * F.col("k")).alias("tokens"))
     return df.select(F.col(id_col).alias("doc")).join(sums, "doc", "left").select(F.col("doc").alias(id_col), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
