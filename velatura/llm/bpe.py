@@ -145,7 +145,9 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     distinct = words.select("w").distinct()
     known = distinct.join(F.broadcast(vocab), distinct["w"] == vocab["piece"], "left").select("w", "rank")
     known = stage(known, "bpe-words")
-    rest = known.where("rank IS NULL").select("w", F.posexplode(F.when(F.length("w") <= LONG_WORD, merged(F.col("w"), rank_map(spark, path))).otherwise(merged_long(F.col("w"), rank_map(spark, path)))).alias("k", "piece"))
+    # bound once, or each use of the ranks would be a copy of them in the plan
+    pieces = _let(rank_map(spark, path), lambda t: F.when(F.length("w") <= LONG_WORD, merged(F.col("w"), t)).otherwise(merged_long(F.col("w"), t)))
+    rest = known.where("rank IS NULL").select("w", F.posexplode(pieces).alias("k", "piece"))
     ids = rest.join(F.broadcast(vocab), "piece").groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rank"))), lambda x: x["rank"]).alias("ids"))
     return known.where("rank IS NOT NULL").select("w", F.array("rank").alias("ids")).unionByName(ids)
 
