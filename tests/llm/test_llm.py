@@ -59,6 +59,27 @@ def test_overlap_copies_are_one_class(spark):
     assert links.count() == 1 and overlap.row_pairs(links, members).count() == 400
 
 
+def test_overlap_however_the_changes_lie(spark):
+    def text(words):
+        return " ".join(words)
+
+    def swap(words, at):
+        return [f"novo{i}" if i in at else w for i, w in enumerate(words)]
+
+    rows = []
+    for n, at in ((14, {4, 9}), (15, {4, 9, 12}), (20, {3, 8, 13, 18}), (25, {4, 9, 14, 19, 24}), (100, set(range(4, 100, 5)))):  # no five words in a row stay
+        base = [f"p{n}x{i}" for i in range(n)]
+        rows += [(text(base), "training"), (text(swap(base, at)), "test")]
+    long, rng = [f"q{i}" for i in range(100)], random.Random(3)
+    short = swap(long, {5, 11, 17, 23, 29, 35, 41, 47, 53, 59, 65, 71, 77, 83, 89})[:99]  # what both share is the template of many
+    rows += [(text(long), "training"), (text(short), "test")]
+    rows += [(text([*(f"r{k}x{i}" for i in range(60)), *rng.sample(long, 60)]), rng.choice(["training", "test"])) for k in range(30)]
+    rows = [(i, t, s, "s") for i, (t, s) in enumerate(rows)]
+    links, members = overlap.cross_split(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.id_a, r.id_b) for r in overlap.row_pairs(links, members).collect()}
+    assert got == _brute(rows) and {(i, i + 1) for i in range(0, 12, 2)} <= got
+
+
 # --- 2: percentiles ---
 
 
