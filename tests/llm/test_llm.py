@@ -141,6 +141,20 @@ def test_natural_endings_are_no_cut(spark):
     assert truncation.cut(df.limit(0), ["g"]).count() == 0
 
 
+def test_copies_of_a_cut_text_are_still_cut(spark):
+    rows = [(i, "Segue o resultado da an") for i in range(40)] + [(100 + i, f"Fim número {i}.") for i in range(60)] + [(200 + i, f"Texto {'x' * i}\nNada mais consta") for i in range(10)]
+    rows += [(300 + i, f"Lista {'y' * i}\n- dúvidas: nenhuma") for i in range(12)] + [(400, "- dúvidas: nenh"), (401, "- idade: 5")]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", F.lit("m").alias("g"), truncation.ending("t").alias("s"))
+    assert {r.id for r in truncation.cut(df, ["g"]).where("cortado").collect()} == {*range(40), 400}
+
+
+def test_natural_endings_of_pairs_by_maker(spark):
+    rows = [("s", i, "p", f"Texto {'x' * i}\nNada mais consta") for i in range(20)] + [("s", 50, "p", "Outro texto.\nNada mais consta")]
+    df = spark.createDataFrame(rows, "source string, id long, prompt string, answer string")
+    makers = spark.createDataFrame([("s", r[1], "a" if r[1] < 50 else "b") for r in rows], "source string, id long, maker string")
+    assert [(r.id, r.defeito) for r in pairs.defective(df, makers=makers).collect()] == [(50, "truncada")]
+
+
 NOTE = "Paciente de 54 anos, carteiro, procura o serviço por tosse produtiva iniciada ontem. Nega febre e nega dor torácica ao subir a escada."
 
 

@@ -134,13 +134,19 @@ def _judge(copy_limit: float):
             out = pd.DataFrame(got, columns=["defeito", "estado", "fim"])
             out.insert(0, "id", b["id"].to_numpy())
             out.insert(1, "source", b["source"].to_numpy())
-            yield out
+            yield pd.concat([out, truncation.marks(b["answer"])], axis=1)
 
     return run
 
 
-def defective(pairs: DataFrame, copy_limit: float = 0.3) -> DataFrame:
-    """(source, id, defeito) of pairs (source, id, prompt, answer)."""
-    judged = pairs.select("id", "source", "prompt", "answer").mapInPandas(_judge(copy_limit), "id long, source string, defeito string, estado string, fim string")
-    judged = stage(judged.select("id", "source", "defeito", F.struct("estado", "fim").alias("s")), "pairs")
-    return truncation.cut(judged, ["source"]).select("source", "id", F.coalesce("defeito", F.when(F.col("cortado"), F.lit("truncada"))).alias("defeito")).where("defeito IS NOT NULL")
+def defective(pairs: DataFrame, copy_limit: float = 0.3, makers: DataFrame | None = None) -> DataFrame:
+    """(source, id, defeito) of pairs (source, id, prompt, answer).
+
+    ``makers`` (source, id, maker) says which model gave an answer; endings are natural per source and maker.
+    """
+    judged = pairs.select("id", "source", "prompt", "answer").mapInPandas(_judge(copy_limit), "id long, source string, defeito string, estado string, fim string, marca long, curto boolean")
+    judged = stage(judged.select("id", "source", "defeito", F.struct("estado", "fim", "marca", "curto").alias("s")), "pairs")
+    group = ["source"]
+    if makers is not None:
+        judged, group = judged.join(makers, ["source", "id"], "left"), ["source", "maker"]
+    return truncation.cut(judged, group).select("source", "id", F.coalesce("defeito", F.when(F.col("cortado"), F.lit("truncada"))).alias("defeito")).where("defeito IS NOT NULL")

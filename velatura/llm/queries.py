@@ -110,7 +110,10 @@ def p6_parcelas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, SIMULATED, "id", "prompt_enviado", "resposta_bruta").select(F.lit(SIMULATED).alias("source"), "id", F.col("prompt_enviado").alias("prompt"), F.col("resposta_bruta").alias("answer"))
     b = table(spark, sf_dir, LOGS, "id", "texto_pre_llm", "resposta_bruta").select(F.lit(LOGS).alias("source"), "id", F.col("texto_pre_llm").alias("prompt"), F.col("resposta_bruta").alias("answer"))
-    return pairs.defective(a.unionByName(b)).withColumnRenamed("source", "tabela")
+    model = _model_of_log(spark, sf_dir)
+    logs = model.select(F.lit(LOGS).alias("source"), F.col("log_id").alias("id"), F.col("modelo").alias("maker"))
+    simulated = table(spark, sf_dir, SIMULATED, "id", "log_llm_id").join(model, F.col("log_llm_id") == F.col("log_id")).select(F.lit(SIMULATED).alias("source"), "id", F.col("modelo").alias("maker"))
+    return pairs.defective(a.unionByName(b), makers=logs.unionByName(simulated)).withColumnRenamed("source", "tabela")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

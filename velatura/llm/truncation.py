@@ -12,9 +12,12 @@ structure ends:
   or with a broken multibyte sequence.
 
 An ``aberto`` text isn't cut where its source usually ends so: the last line, with its
-digits folded, is a short list entry (``label: value``) or the natural ending of at
-least ``natural`` of all texts of that source and field (cut texts end in too many
-different places to reach that).
+digits folded, is the natural ending of at least ``natural`` of the different texts of
+that source and field. Copies of a text count once, so a cut answer that is retried or
+copied doesn't make its own ending natural; only of answers of at most three words, which
+are repeated as they are, every row counts. A short list entry (``label: value``) is no
+cut either, unless it is the beginning of an entry that ends at least ten times as many
+different texts of its table.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import json
 import re
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,28 +137,69 @@ def state(text: str | None) -> tuple[str, str | None]:
     return _prose(rest)
 
 
-_STATE = T.StructType([T.StructField("estado", T.StringType()), T.StructField("fim", T.StringType())])
+_STATE = T.StructType([T.StructField("estado", T.StringType()), T.StructField("fim", T.StringType()), T.StructField("marca", T.LongType()), T.StructField("curto", T.BooleanType())])
+
+
+def mark(text: str | None) -> tuple[int | None, bool]:
+    """(a number that copies of a text share, whether it has at most three words)."""
+    if text is None:
+        return None, True
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), len(text.split(None, 3)) <= 3
+
+
+def marks(texts: pd.Series) -> pd.DataFrame:
+    got = [mark(t) for t in texts]
+    return pd.DataFrame({"marca": pd.array([m for m, _ in got], dtype="Int64"), "curto": [c for _, c in got]})
 
 
 @F.pandas_udf(_STATE)
 def ending(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([state(t) for t in text], columns=["estado", "fim"])
+    return pd.concat([pd.DataFrame([state(t) for t in text], columns=["estado", "fim"]), marks(text)], axis=1)
 
 
-def natural_endings(states: DataFrame, group: list[str], natural: float, least: int) -> DataFrame:
+def different_texts(states: DataFrame, group: list[str]) -> DataFrame:
+    """(group, marca, estado, fim, w): one row per text with content; w is 1, or a short text's rows."""
+    rows = states.where("s.estado <> 'vazio'").select(*group, "s.*").groupBy(*group, "marca").agg(F.first("estado").alias("estado"), F.first("fim").alias("fim"), F.first("curto").alias("curto"), F.count("*").alias("w"))
+    return rows.withColumn("w", F.when(F.col("curto"), F.col("w")).otherwise(F.lit(1)))
+
+
+def natural_endings(texts: DataFrame, group: list[str], natural: float, least: int) -> DataFrame:
     """(group, fim) of the last lines that are no cut: at most 1/natural of them a group."""
-    total = states.groupBy(*group).agg(F.count_if(F.col("s.estado") != "vazio").alias("n"))
-    ends = states.where("s.estado = 'aberto'").groupBy(*group, F.col("s.fim").alias("fim")).agg(F.count("*").alias("k"))
+    total = texts.groupBy(*group).agg(F.sum("w").alias("n"))
+    ends = texts.where("estado = 'aberto'").groupBy(*group, "fim").agg(F.sum("w").alias("k"))
     on = [ends[g].eqNullSafe(total[g]) for g in group]
     return ends.join(total, on).where((F.col("k") >= natural * F.col("n")) & (F.col("k") >= least)).select(*[ends[g] for g in group], "fim", F.lit(True).alias("natural"))
 
 
+def begun_entries(texts: DataFrame, group: list[str], times: int = 10) -> DataFrame:
+    """(group, fim) of the entries that are the beginning of one with at least ``times`` as many texts."""
+    ends = texts.where("estado = 'aberto'").where(F.col("fim").startswith("\x01")).groupBy(*group, "fim").agg(F.count("*").alias("k"))
+    places = F.when(F.length("fim") > 2, F.sequence(F.lit(2), F.length("fim") - 1))
+    starts = ends.where(F.col("k") >= times).withColumn("n", F.explode(places)).groupBy(*[F.col(g).alias(f"b_{g}") for g in group], F.substring("fim", F.lit(1), F.col("n")).alias("b_fim")).agg(F.max("k").alias("b_k"))
+    on = (F.col("fim") == F.col("b_fim")) & _all(F.col(g).eqNullSafe(F.col(f"b_{g}")) for g in group)
+    return ends.join(starts, on).where(F.col("b_k") >= times * F.col("k")).select(*group, "fim", F.lit(True).alias("begun"))
+
+
 def cut(states: DataFrame, group: list[str], natural: float = 0.01, least: int = 8) -> DataFrame:
-    """Adds ``cortado`` to rows with the column ``s`` that ``ending`` gives."""
-    usual = natural_endings(states, group, natural, least).withColumnsRenamed({g: f"u_{g}" for g in group} | {"fim": "u_fim"})
-    on = (F.col("s.fim") == F.col("u_fim")) & _all(F.col(g).eqNullSafe(F.col(f"u_{g}")) for g in group)
-    out = states.join(usual, on, "left").withColumn("cortado", (F.col("s.estado") == "estrutura") | ((F.col("s.estado") == "aberto") & F.col("natural").isNull() & ~F.col("s.fim").startswith("\x01")))
-    return out.drop("u_fim", "natural", *[f"u_{g}" for g in group])
+    """Adds ``cortado`` to rows with the column ``s`` that ``ending`` gives.
+
+    ``group`` begins with the table, within which entries are compared.
+    """
+    texts = different_texts(states, group)
+    usual = _renamed(natural_endings(texts, group, natural, least), group, "u")
+    begun = _renamed(begun_entries(different_texts(states, group[:1]), group[:1]), group[:1], "v")
+    out = states.join(usual, _same(group, "u"), "left").join(begun, _same(group[:1], "v"), "left")
+    fits = F.when(F.col("s.fim").startswith("\x01"), F.col("begun").isNull()).otherwise(F.lit(False))
+    out = out.withColumn("cortado", (F.col("s.estado") == "estrutura") | ((F.col("s.estado") == "aberto") & F.col("natural").isNull() & ~fits))
+    return out.drop("u_fim", "v_fim", "natural", "begun", *[f"u_{g}" for g in group], f"v_{group[0]}")
+
+
+def _renamed(ends: DataFrame, group: list[str], by: str) -> DataFrame:
+    return ends.withColumnsRenamed({c: f"{by}_{c}" for c in [*group, "fim"]})
+
+
+def _same(group: list[str], by: str) -> Column:
+    return (F.col("s.fim") == F.col(f"{by}_fim")) & _all(F.col(g).eqNullSafe(F.col(f"{by}_{g}")) for g in group)
 
 
 def _all(conditions) -> Column:
