@@ -176,6 +176,22 @@ def test_defects(prompt, answer, want):
     assert pairs.defect(prompt, answer, 0.3)[0] == want
 
 
+LONG = "O pedido trata de uma nota clínica escrita pela equipe da unidade durante o plantão. " * 9
+
+
+@pytest.mark.parametrize(
+    "prompt, answer, want",
+    [
+        ("p", LONG + "Por isso, não posso ajudar com a extração.", "recusa"), ("p", "Não posso ajudar com a extração de dados. " + LONG, "recusa"), ("p", LONG + "Por fim: I cannot help with this request.", "recusa"),
+        ("p", LONG + "A queixa foi esta.", None), ("Leia. Não consigo fazer força com o braço", LONG + "Não consigo fazer força com o braço.", None), ("p", LONG + "O registro diz “não consigo realizar esforço” e segue.", None),
+        ("p", "عذراً، لا أستطيع المساعدة في هذا الطلب.", "recusa"), ("p", "क्षमा करें, मैं इस अनुरोध में मदद नहीं कर सकता।", "recusa"), ("p", "ขออภัย ไม่สามารถช่วยเรื่องนี้ได้", "recusa"), ("p", "Извините, я не могу помочь с этим.", "recusa"), ("p", "죄송합니다. 도와드릴 수 없습니다.", "recusa"),
+        ("p", "null" + " " * 900, "vazia"), ("p", "-" * 300 + "\nnull\n" + "-" * 300, "vazia"),
+    ],
+)
+def test_refusals_wherever_they_stand(prompt, answer, want):
+    assert pairs.defect(prompt, answer, 0.3)[0] == want
+
+
 def test_defective_pairs_as_rows(spark):
     rows = [("t", 1, "p", "O nome é cit"), ("t", 2, "p", None), ("t", 3, None, "Tudo certo."), ("t", 4, "p", '{"map_nomes": ["A')]
     got = {(r.id, r.defeito) for r in pairs.defective(spark.createDataFrame(rows, "source string, id long, prompt string, answer string")).collect()}

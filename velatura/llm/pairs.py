@@ -5,7 +5,9 @@ One label a pair, the first that holds:
 * ``vazia``: no real content (as in ``truncation``);
 * ``copia``: the response, normalised and compressed with the prompt as the zstandard
   dictionary, takes at most the share ``copy_limit`` of its size compressed alone;
-* ``recusa``: a refusal phrase of some language opens an answer without any structure;
+* ``recusa``: an answer without any structure has a refusal phrase of some language in its
+  first 200 characters, or anywhere later in a sentence of its own that isn't quoted or
+  taken from the prompt and in which the phrase declines a task in the first person;
 * ``outro_idioma``: the answer's own words (without quoted terms, names, numbers, addresses
   and the known keys) are of another script, or function words of another language
   outweigh the Portuguese ones;
@@ -39,6 +41,27 @@ REFUSALS = {
     "it": r"\bnon posso \w+|mi dispiace|mi rifiuto",
     "zh": "抱歉|对不起|對不起|无法|無法|不能(?:提供|帮助|协助|处理)|拒绝",
     "ja": "申し訳|できません|お断り",
+    "ko": "죄송|(?:할|드릴|될) ?수(?:가|는)? ?없(?:습니다|어요|음)|거절합니다|거부합니다",
+    "ru": r"\b(?:я )?не (?:могу|смогу|буду|имею права) \w+|отказываюсь|вынужден\w* отказать|извините|сожалею",
+    "ar": "لا أستطيع|لا يمكنني|لن أتمكن|لن أقوم|غير قادر على|أعتذر|عذر[اًا]|آسف|أرفض",
+    "hi": "क्षमा करें|माफ़? ?कीजिए|माफ़ करें|नहीं कर सक(?:ता|ती|ते)|असमर्थ हूँ|मना करता हूँ|(?:मदद|सहायता) नहीं कर",
+    "th": "ขออภัย|ขอโทษ|ไม่สามารถ(?:ช่วย|ให้|ดำเนินการ|ทำ|ประมวลผล|ตอบ)|ขอปฏิเสธ",
+    "nl": r"\bik (?:kan|mag|zal) (?:\w+ ){0,4}?niet|het spijt me|ik weiger",
+    "pl": r"\bnie mogę \w+|przykro mi|odmawiam",
+    "tr": r"üzgünüm|yardımcı olamam|reddediyorum",
+    "vi": r"xin lỗi|tôi không thể",
+}
+# What declines a task wherever it stands; shorter phrases count in an opening only
+_TASK = r"(?:help|assist|comply|process|provide|extract|fulfil|fulfill|share|list|answer|complete|continue)"
+ANYWHERE = REFUSALS | {
+    "pt": REFUSALS["pt"].split("|recuso", 1)[0] + r"|\b(?:eu )?me recuso\b|\brecuso-me\b|(?:estou|sou|fui) impedid[oa] de|n[ãa]o estou autorizad[oa] a|n[ãa]o tenho (?:permiss|autoriza)",
+    "en": rf"\bI(?:'m| am)? (?:can(?:no|')t|can not|won't|will not|unable to|not able to|not allowed to|must decline|have to decline|decline to|refuse to) (?:\w+ ){{0,4}}?{_TASK}\b|\bI(?:'m| am) sorry,? but",
+    "es": r"\bno (?:puedo|podr[ée]) (?:\w+ ){0,2}?(?:ayudar|atender|procesar|realizar|proporcionar|extraer|cumplir|responder|continuar|compartir)\w*|me niego a",
+    "fr": r"\bje (?:ne peux|ne puis) (?:pas )?(?:\w+ ){0,2}?(?:aider|traiter|fournir|extraire|répondre|continuer|partager)|je refuse de",
+    "de": r"\b(?:kann|darf|werde) ich (?:\w+ )*nicht (?:\w+ )*(?:helfen|bearbeiten|bereitstellen|verarbeiten|extrahieren|beantworten|erfüllen)|\bich (?:kann|darf|werde) (?:\w+ )*nicht (?:\w+ )*(?:helfen|bearbeiten|bereitstellen|verarbeiten|extrahieren|beantworten|erfüllen)",
+    "it": r"\bnon posso (?:\w+ )?(?:aiutar|fornir|elaborar|estrarr|risponder|continuar)\w*|mi rifiuto di",
+    "zh": "(?:我|抱歉|对不起|對不起)[^。!?]{0,12}(?:无法|無法|不能)(?:提供|帮助|协助|处理|完成|回答)|(?:我|必须)拒绝",
+    "ja": "(?:ご要望|お手伝い|対応|提供|お答え|抽出)[^。]{0,8}できません|お断り(?:し|いた)",
 }
 # Frequent function words that tell the languages apart
 FUNCTION_WORDS = {
@@ -55,6 +78,8 @@ for _l, _ws in FUNCTION_WORDS.items():
         _WORDS_OF.setdefault(_w, set()).add(_l)
 
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS.values()), re.I)
+_REFUSAL_ANYWHERE = re.compile("|".join(f"(?:{x})" for x in ANYWHERE.values()), re.I)
+_SENTENCE = re.compile(r"[^.!?…。！？।॥؟\n]+")
 _KEYS = re.compile(r'"(?:map_\w+|duvidas_pendentes|classificacao)"\s*:')
 _OTHER_KEY = re.compile(r'"(\w+)"\s*:\s*(?:"((?:[^"\\]|\\.)*)")?')
 _QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"|“[^”]*”|«[^»]*»|\[ [A-Z]+ \d+ \]')
@@ -72,6 +97,17 @@ def own_words(answer: str) -> str:
     return answer
 
 
+def refuses(prompt: str | None, answer: str) -> bool:
+    """The answer declines the task, in its opening or later in its own words."""
+    if _REFUSAL.search(answer[:200]):
+        return True
+    if len(answer) <= 200 or not _REFUSAL_ANYWHERE.search(answer):
+        return False
+    given = f" {_flat(prompt or '')} "
+    own = (m.group() for m in _SENTENCE.finditer(_QUOTED.sub(" ", answer)))
+    return any(_REFUSAL_ANYWHERE.search(s) and f" {_flat(s)} " not in given for s in own)
+
+
 def foreign(answer: str) -> bool:
     own = own_words(answer)
     if "```" in own:
@@ -120,7 +156,7 @@ def defect(prompt: str | None, answer: str | None, copy_limit: float) -> tuple[s
     if not structured or "map_" not in answer and "classificacao" not in answer:
         if copy_rate(prompt, answer) <= copy_limit:
             return "copia", st, tail
-    if not structured and len(answer) < 600 and _REFUSAL.search(answer[:200]):
+    if not structured and refuses(prompt, answer):
         return "recusa", st, tail
     if foreign(answer):
         return "outro_idioma", st, tail

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 import pandas as pd
 import xxhash
@@ -49,9 +50,7 @@ def is_empty(text: str | None) -> bool:
     """No real content; a structure with named keys counts as content."""
     if text is None or not _ALNUM.search(text):
         return True
-    if len(text) > 400:
-        return False
-    words = _ALNUM.findall(text.casefold())
+    words = [m.group().casefold() for m in islice(_ALNUM.finditer(text), 4)]
     return len(words) <= 3 and "".join(words) in PLACEHOLDERS or words == ["json", "null"]
 
 
