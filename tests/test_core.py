@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from velatura.config import LoopSettings, Settings
 from velatura.functions import patterns, text
 from velatura.operators import extractor, goldlabels, knowledge, lattice, ngrams, scoring, spans, tags, views
-from velatura.plans import pipeline
+from velatura.plans import catalogue, pipeline
 from velatura.sources import readers, sinks
 from velatura.streaming import loops
 
@@ -435,3 +435,15 @@ def test_entry_without_the_training_package():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_lattice_search_takes_all_sessions_and_levels(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(catalogue.lattice, "search", lambda records, terms, sessions, mode="uniao", depth=None: asked.append((sessions, mode, depth)) or spark.createDataFrame([], "combo array<int>, f2 double, podado boolean"))
+    names = {"dataset_registros": "id long, text string, labels array<string>", catalogue.TERMS: "sessao_id long, tipo string, texto_original string, id_local_sessao int"}
+    rows = {catalogue.TERMS: [(s, "nome", f"Ana {s}", 1) for s in (5, 1, 8, None, 5)]}
+    monkeypatch.setattr(catalogue, "table", lambda s, d, name, *cols: s.createDataFrame(rows.get(name, []), names[name]))
+    catalogue.lattice_search(spark, "")
+    catalogue.lattice_search_intersect(spark, "")
+    assert asked == [([1, 5, 8], "uniao", None), ([1, 5, 8], "interseccao", None)]
+    assert {r.texto_original for r in catalogue.knowledge_union_all(spark, "").collect()} == {"Ana 1", "Ana 5", "Ana 8"}

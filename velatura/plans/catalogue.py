@@ -195,6 +195,22 @@ def knowledge_intersect(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.intersect_sessions(table(spark, d, TERMS), [1, 2])
 
 
+def _sessions(terms: DataFrame) -> list[int]:
+    return [r[0] for r in terms.select("sessao_id").where("sessao_id IS NOT NULL").distinct().orderBy("sessao_id").collect()]
+
+
+@query("SELECT tipo, texto_original, CAST(row_number() OVER (PARTITION BY tipo ORDER BY s, i, texto_original) AS INTEGER) AS id FROM (SELECT tipo, texto_original, min(sessao_id) AS s, min_by(id_local_sessao, (sessao_id, id_local_sessao)) AS i FROM p02_conhecimento WHERE sessao_id IS NOT NULL GROUP BY ALL)")
+def knowledge_union_all(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, TERMS)
+    return knowledge.union_sessions(terms, _sessions(terms))
+
+
+@query("SELECT tipo, texto_original, CAST(row_number() OVER (PARTITION BY tipo ORDER BY texto_original) AS INTEGER) AS id FROM (SELECT tipo, texto_original FROM p02_conhecimento WHERE sessao_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT sessao_id) = (SELECT count(DISTINCT sessao_id) FROM p02_conhecimento) OR tipo = 'unknown')")
+def knowledge_intersect_all(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, TERMS)
+    return knowledge.intersect_sessions(terms, _sessions(terms))
+
+
 @query("SELECT sessao_id, coalesce(max(CASE WHEN fase_atual = 'linha_a_linha' THEN evolucao_index END), -1) AS ultima_linha, coalesce(min(CASE WHEN fase_atual = 'ngram' THEN tamanho_ngram END), 102) AS proximo_n FROM p02_logs_execucao GROUP BY 1")
 def resume_points(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.resume_points(table(spark, d, RUNS, "sessao_id", "fase_atual", "evolucao_index", "tamanho_ngram"))
@@ -325,13 +341,24 @@ def lattice_level(spark: SparkSession, d: str) -> DataFrame:
     return lattice.next_level(h, 3).select(F.array_join(F.col("combo").cast("array<string>"), "-").alias("combo"), "melhor_pai")
 
 
-@query()
-def lattice_search(spark: SparkSession, d: str) -> DataFrame:
+def _search(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """Over all sessions of the table and all levels."""
     gold = table(spark, d, "dataset_registros", "id", "text", "labels").select(F.col("id").alias("rec_idx"), F.col("text").alias("texto"), "labels")
-    out = lattice.search(gold, table(spark, d, TERMS).withColumn("sessao_id", F.col("sessao_id").cast("int")), [1, 2, 3], "uniao", 2)
+    terms = table(spark, d, TERMS).withColumn("sessao_id", F.col("sessao_id").cast("int"))
+    out = lattice.search(gold, terms, _sessions(terms), mode)
     return out.select(F.array_join(F.col("combo").cast("array<string>"), "-").alias("combo"), "f2", "podado")
 
 
+@query()
+def lattice_search(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "uniao")
+
+
+@query()
+def lattice_search_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "interseccao")
+
+
 # --- loops ----------------------------------------------------------------------------------
 
 
