@@ -94,27 +94,56 @@ def test_leaf_order_and_values():
 def test_percentiles_keep_their_bound_when_merged(spark, eps):
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.lognormal(2, 1, 20_000), np.full(4_000, 7.0), -rng.random(500)])
-    df = spark.createDataFrame([(None if i % 97 == 0 else "a", float(x), None if i % 5 else float("nan")) for i, x in enumerate(v)], "g string, x double, y double").repartition(6)
-    parts = [percentiles.digest(df.where(c), "g", ["x", "y"], eps) for c in (F.col("x") < 5, F.col("x") >= 5)]
+    df = spark.createDataFrame([(None if i % 97 == 0 else "a", i % 3, float(x), None if i % 5 else float("nan")) for i, x in enumerate(v)], "g string, dia int, x double, y double").repartition(6).withColumn("chave", F.lit(1))
+    parts = [percentiles.digest(df.where(c), ["g", "dia"], ["x", "y"], eps) for c in (F.col("x") < 5, F.col("x") >= 5)]
     qs = [0.01, 0.5, 0.9, 0.999]
-    rows = percentiles.read(percentiles.merge(*parts, eps=eps), qs, eps).collect()
-    assert {r.grupo for r in rows} == {"a", None} and {r.metrica for r in rows} == {"x"}
-    r = next(r for r in rows if r.grupo == "a")
+    rows = percentiles.read(percentiles.merge(*parts, by=["g"], eps=eps), by="g", quantiles=qs, eps=eps).collect()
+    assert {r.g for r in rows} == {"a", None} and {r.metrica for r in rows} == {"x"}
+    assert {(x.g, x.n) for x in rows} == {(x.g, x.n) for x in percentiles.read(*parts, by="g", quantiles=qs, eps=eps).collect()}
+    r = next(r for r in rows if r.g == "a")
     mine = np.sort(v[np.arange(len(v)) % 97 != 0])
     assert r.n == len(mine) and r.erro_posto <= eps * r.n
     for q, name in zip(qs, ("p0010", "p0500", "p0900", "p0999")):
         x = r[name] * (1 + 1e-6 * np.sign(r[name]))
         low, high = np.searchsorted(mine, x * (1 - 2e-6 * np.sign(x)), "left"), np.searchsorted(mine, x, "right")
         assert low - eps * r.n <= q * r.n <= high + eps * r.n + 1
-    nodes = percentiles.merge(*parts, eps=eps).where("grupo = 'a'").count()
+    nodes = percentiles.merge(*parts, by="g", eps=eps).where("g = 'a'").count()
     assert nodes <= 3 * (percentiles.BITS / eps) + 10
 
 
+def test_a_hot_group_is_folded_in_parts(spark):
+    """One group in all of 64 partitions: no task of the last fold gets more than sqrt(64) folded parts."""
+    eps, k = 0.1, 320
+    df = spark.range(200_000, numPartitions=64).select(F.lit("quente").alias("g"), F.rand(1).alias("x"))
+    nodes = df.select(percentiles._key(["g"]).alias("chave"), "x").mapInArrow(percentiles._digests(k, ["x"], 8), percentiles._NODES)
+    per = nodes.repartition("metrica", "chave", "parte").sortWithinPartitions("parte", "metrica", "chave").mapInPandas(percentiles._groups(k, percentiles._nodes), percentiles._NODES)
+    raw, folded = nodes.count(), per.count()
+    assert nodes.select("parte").distinct().count() == 8 and folded <= 8 * 3 * k < raw / 4
+    r = percentiles.read(percentiles.digest(df, "g", ["x"], eps), by="g", quantiles=[0.5], eps=eps).first()
+    assert r.n == 200_000 and abs(r.p0500 - 0.5) < eps
+
+
+def test_a_group_that_does_not_fit_is_folded_while_it_is_read(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(percentiles, "_FLUSH", 500)
+    k, rng = 40, np.random.default_rng(1)
+    x = rng.random(50_000)
+    seen = []
+    real = percentiles.compress
+    monkeypatch.setattr(percentiles, "compress", lambda g, v, c, k: seen.append(len(v)) or real(g, v, c, k))
+    frames = (pd.DataFrame({"chave": "a", "metrica": "x", "no": percentiles.leaf_of(p) + (1 << 32), "n": 1}) for p in np.split(x, 500))
+    out = pd.concat(percentiles._groups(k, percentiles._nodes)(frames))
+    assert out["n"].sum() == 50_000 and max(seen) < 1_000
+    got = percentiles._read([0.5], k)("a", "x", out["no"].to_numpy(), out["n"].to_numpy()).iloc[0]
+    assert abs((x <= got.p0500).sum() - 25_000) <= got.erro_posto + 2
+
+
 def test_percentiles_small_groups_are_exact_and_empty_ones_missing(spark):
     df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", None), ("c", float("inf"))], "g string, x double")
-    got = {r.grupo: (r.n, r.p0500) for r in percentiles.read(percentiles.digest(df, "g", ["x"]), [0.5]).collect()}
+    got = {r.g: (r.n, r.p0500) for r in percentiles.read(percentiles.digest(df, "g", ["x"]), by="g", quantiles=[0.5]).collect()}
     assert got == {"a": (3, 2.0), "c": (1, float("inf"))}
-    assert percentiles.read(percentiles.digest(df.limit(0), "g", ["x"]), [0.5]).count() == 0
+    assert percentiles.read(percentiles.digest(df.limit(0), "g", ["x"]), by="g", quantiles=[0.5]).count() == 0
 
 
 # --- 3 and 7: truncation, pairs ---

@@ -8,9 +8,14 @@ with ``k = ceil(32 / eps)``; every level adds at most that many values of uncert
 place, so any rank is off by at most ``eps * n``. Digests of pieces merge by adding the
 counts of equal nodes, and the bound stays ``eps`` times the total.
 
-Each task folds its own rows into digests before anything is shuffled, so a hot
-group costs at most ``3k`` rows a task; the pieces of a group are first added in
-``SPREAD`` parts and then in one.
+Each task folds its own rows into digests before anything is shuffled, so a hot group
+costs at most ``3k`` nodes a task. The pieces are then added in two steps: a piece carries
+a part number, the number of its task modulo ``sqrt(tasks)``; each (group, part) is folded
+by itself, and then each group from its folded parts. So no task gets more than about
+``3k * sqrt(tasks)`` nodes of a group, and it holds at most ``_FLUSH`` of them at a time.
+
+A digest keeps the columns it was grouped by, so days can be stored as they are and added
+later by any of these columns (``merge``), or read at once (``read``).
 
 Nulls and NaN are left out; infinities are kept, as the ends of the order. A null
 group is a group of its own. Groups without a value give no row. A percentile that
@@ -20,18 +25,20 @@ falls on a folded node is the upper end of that node.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from functools import reduce
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 32
-SPREAD = 16
 _FLUSH = 400_000
-_NULL = "\x01"
+_NODES = "chave string, metrica string, parte int, no long, n long"
 
 
 def leaf_of(values: np.ndarray) -> np.ndarray:
@@ -85,10 +92,11 @@ def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int):
     return tuple(np.concatenate([x[i] for x in done]) for i in range(3))
 
 
-def _digests(k: int, metrics: list[str]):
+def _digests(k: int, metrics: list[str], parts: int):
     """Arrow batches of (group, metrics...) -> digest rows of this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() % parts
         held = [[np.empty(0, np.int64)] * 3 for _ in metrics]
         codes: dict = {}
         names: list = []
@@ -97,14 +105,14 @@ def _digests(k: int, metrics: list[str]):
             for i, m in enumerate(metrics):
                 g, v, c = held[i]
                 if len(v):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in g], pa.string()), pa.array([m] * len(v)), pa.array(v), pa.array(c)], names=["grupo", "metrica", "no", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in g], pa.string()), pa.array([m] * len(v)), pa.array([part] * len(v), pa.int32()), pa.array(v), pa.array(c)], names=["chave", "metrica", "parte", "no", "n"])
 
         for b in batches:
             enc = b.column(0).dictionary_encode()
-            own = [None if x is None else x for x in enc.dictionary.to_pylist()] + [None]
+            own = enc.dictionary.to_pylist()
             to = np.array([codes.setdefault(x, len(codes)) for x in own], dtype=np.int64)
             names += list(codes)[len(names) :]
-            at = to[enc.indices.fill_null(len(own) - 1).to_numpy(zero_copy_only=False)]
+            at = to[enc.indices.to_numpy(zero_copy_only=False)]
             for i, _ in enumerate(metrics):
                 x = b.column(i + 1).cast(pa.float64()).to_numpy(zero_copy_only=False)
                 ok = ~np.isnan(x)
@@ -126,78 +134,113 @@ def _digests(k: int, metrics: list[str]):
     return run
 
 
-def digest(df: DataFrame, group_col: str, metrics: list[str], eps: float = 0.005) -> DataFrame:
-    """Digest rows (grupo, metrica, no, n); the group is given as a string."""
-    k = ceil(BITS / eps)
-    rows = df.select(F.col(group_col).cast("string").alias("grupo"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)])
-    return merge(rows.mapInArrow(_digests(k, metrics), "grupo string, metrica string, no long, n long"), eps=eps)
+def _key(by: list[str]) -> Column:
+    """The group as one text; null columns stay null when it is read again."""
+    return F.to_json(F.struct(*by))
+
+
+def _columns(rows: DataFrame, by: T.StructType) -> DataFrame:
+    """The group's own columns in the place of ``chave``."""
+    return rows.select(F.from_json("chave", by).alias("c"), "*").select("c.*", *[c for c in rows.columns if c != "chave"])
+
+
+def _types(df: DataFrame, by: list[str]) -> T.StructType:
+    return T.StructType([df.schema[c] for c in by])
 
 
-def _recompress(k: int):
+def digest(df: DataFrame, by: str | list[str], metrics: list[str], eps: float = 0.005) -> DataFrame:
+    """Digest rows (the columns of ``by``, metrica, no, n)."""
+    by = [by] if isinstance(by, str) else by
+    rows = df.select(_key(by).alias("chave"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)])
+    tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    parts = max(1, isqrt(tasks))
+    nodes = rows.mapInArrow(_digests(ceil(BITS / eps), metrics, parts), _NODES)
+    return _columns(_added(nodes, parts, eps), _types(df, by))
+
+
+def _groups(k: int, finish):
+    """Sorted digest rows -> ``finish(key, metric, nodes, counts)`` of each whole group."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:  # sorted by group: only the last group of a batch may go on
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            key = b["metrica"] + "|" + b["grupo"].fillna(_NULL)
-            last = (key == key.iloc[-1]).to_numpy()
-            rest, whole = b[last], b[~last]
-            if len(whole):
-                yield fold(whole)
-        if rest is not None and len(rest):
-            yield fold(rest)
-
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        keys, names = pd.factorize(b["metrica"] + "|" + b["grupo"].fillna(_NULL))
-        g, v, c = compress(keys.astype(np.int64), b["no"].to_numpy(np.int64), b["n"].to_numpy(np.int64), k)
-        m, n = zip(*(x.split("|", 1) for x in names))
-        return pd.DataFrame({"grupo": pd.Series([None if n[i] == _NULL else n[i] for i in g], dtype=object), "metrica": [m[i] for i in g], "no": v, "n": c})
+        held: list = []  # pieces of the group that is being read
+        size, key = 0, None
+
+        def fold():
+            v, c = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            return compress(np.zeros(len(v), np.int64), v, c, k)[1:]
+
+        for b in batches:
+            chave, metrica = b["chave"].to_numpy(), b["metrica"].to_numpy()
+            no, n = b["no"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
+            border = np.nonzero((chave[1:] != chave[:-1]) | (metrica[1:] != metrica[:-1]))[0] + 1
+            done = []
+            for s, e in zip([0, *border], [*border, len(b)]):
+                if e <= s:
+                    continue
+                if key != (chave[s], metrica[s]):
+                    if held:
+                        done.append(finish(*key, *fold()))
+                    held, size, key = [], 0, (chave[s], metrica[s])
+                held.append((no[s:e], n[s:e]))
+                size += e - s
+                if size > max(_FLUSH, 8 * k):  # what is held is a piece of its own: fold it
+                    held = [fold()]
+                    size = len(held[0][0])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held:
+            yield finish(*key, *fold())
 
     return run
 
 
-def merge(*digests: DataFrame, eps: float = 0.005) -> DataFrame:
-    """Add the digests of separate pieces (partitions, days) into one."""
+def _nodes(key: str, metric: str, v: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"chave": key, "metrica": metric, "parte": np.zeros(len(v), np.int32), "no": v, "n": c})
+
+
+def _added(nodes: DataFrame, parts: int, eps: float, finish=_nodes, schema: str = _NODES) -> DataFrame:
+    """Fold each (group, part), then each group; ``finish`` makes the rows of a whole group."""
     k = ceil(BITS / eps)
-    rows = digests[0]
-    for d in digests[1:]:
-        rows = rows.unionByName(d)
-    rows = rows.groupBy("grupo", "metrica", F.pmod(F.hash("no"), F.lit(SPREAD)).alias("parte"), "no").agg(F.sum("n").alias("n")).drop("parte")
-    ordered = rows.repartition("metrica", "grupo").sortWithinPartitions("metrica", "grupo")
-    return ordered.mapInPandas(_recompress(k), "grupo string, metrica string, no long, n long")
+    if parts > 1:
+        nodes = nodes.repartition("metrica", "chave", "parte").sortWithinPartitions("parte", "metrica", "chave").mapInPandas(_groups(k, _nodes), _NODES)
+    out = nodes.repartition("metrica", "chave").sortWithinPartitions("metrica", "chave").mapInPandas(_groups(k, finish), schema)
+    return out.drop("parte")
 
 
-def _read(quantiles: list[float], eps: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            key = b["metrica"] + "|" + b["grupo"].fillna(_NULL)
-            last = (key == key.iloc[-1]).to_numpy()
-            rest, whole = b[last], b[~last]
-            if len(whole):
-                yield pd.concat([one(x) for _, x in whole.groupby(["metrica", whole["grupo"].fillna(_NULL)])])
-        if rest is not None and len(rest):
-            yield one(rest)
-
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        v, c = b["no"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
+def _pieces(digests: tuple[DataFrame, ...], by: list[str]) -> tuple[DataFrame, int]:
+    """The nodes of digests under the groups of ``by``, in parts."""
+    rows = reduce(DataFrame.unionByName, digests)
+    parts = max(1, isqrt(rows._jdf.queryExecution().toRdd().getNumPartitions()))
+    part = F.pmod(F.spark_partition_id(), F.lit(parts))
+    return rows.select(_key(by).alias("chave"), "metrica", part.cast("int").alias("parte"), "no", "n"), parts
+
+
+def merge(*digests: DataFrame, by: str | list[str], eps: float = 0.005) -> DataFrame:
+    """Add the digests of separate pieces (partitions, days) into one of the groups ``by``."""
+    by = [by] if isinstance(by, str) else by
+    return _columns(_added(*_pieces(digests, by), eps), _types(digests[0], by))
+
+
+def _read(quantiles: list[float], k: int):
+    def one(key: str, metric: str, v: np.ndarray, c: np.ndarray) -> pd.DataFrame:
         depth = np.floor(np.log2(v.astype(np.float64))).astype(np.int64)
         high = ((v + 1) << (BITS - depth)) - 1 - (1 << BITS)
         order = np.lexsort((-depth, high))
         high, upto = high[order], np.cumsum(c[order])
         n = int(upto[-1])
         at = np.searchsorted(upto, [max(1, ceil(q * n - 1e-9)) for q in quantiles])
-        row = {"grupo": b["grupo"].iloc[0], "metrica": b["metrica"].iloc[0], "n": n, "erro_posto": int(BITS * (n // ceil(BITS / eps)))}
+        row = {"chave": key, "metrica": metric, "n": n, "erro_posto": int(BITS * (n // k))}
         return pd.DataFrame([row | {f"p{round(q * 1000):04d}": x for q, x in zip(quantiles, value_of(np.clip(high[at], *_ENDS)))}])
 
-    return run
+    return one
 
 
-def read(merged: DataFrame, quantiles: list[float], eps: float = 0.005) -> DataFrame:
-    """One row a group and metric: n, the rank error in rows, and pNNNN (per mille) columns.
+def read(*digests: DataFrame, by: str | list[str], quantiles: list[float], eps: float = 0.005) -> DataFrame:
+    """One row a group of ``by`` and metric: n, the rank error in rows, and pNNNN (per mille) columns.
 
-    ``merged`` must hold whole groups, as ``digest`` and ``merge`` give them.
+    The digests may be of any pieces and of finer groups; they are added on the way.
     """
+    by = [by] if isinstance(by, str) else by
     cols = ", ".join(f"p{round(q * 1000):04d} double" for q in quantiles)
-    ordered = merged.repartition("metrica", "grupo").sortWithinPartitions("metrica", "grupo")
-    return ordered.mapInPandas(_read(quantiles, eps), f"grupo string, metrica string, n long, erro_posto long, {cols}")
+    out = _added(*_pieces(digests, by), eps, _read(quantiles, ceil(BITS / eps)), f"chave string, metrica string, n long, erro_posto long, {cols}")
+    return _columns(out, _types(digests[0], by))

@@ -9,6 +9,9 @@ from velatura.llm import bpe, mixing, overlap, pairs, percentiles, personal, rep
 from velatura.session import stage, table
 
 
+LOGS, SIMULATED, RUNS = "p02_brkga_logs_llm", "p02_brkga_simular_injection", "p02_logs_execucao"
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.row_pairs(*overlap.cross_split(table(spark, sf_dir, "dataset_registros")))
 
@@ -21,19 +24,41 @@ QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 METRICS = ["eval_tokens_per_second", "total_duration_sec"]
 
 
+def p2_digestos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each day and ``resultado_id``: what is stored, and added when it is read."""
+    logs = table(spark, sf_dir, LOGS, "resultado_id", "created_at", *METRICS).withColumn("dia", F.to_date("created_at"))
+    return percentiles.digest(logs, ["dia", "resultado_id"], METRICS)
+
+
 def p2_percentis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = table(spark, sf_dir, "p02_brkga_logs_llm", "resultado_id", *METRICS)
-    found = percentiles.read(percentiles.digest(logs, "resultado_id", METRICS), QUANTILES)
-    return found.withColumn("grupo", F.col("grupo").cast("long")).withColumnRenamed("grupo", "resultado_id")
+    """Percentiles over all days, from the digests of the days."""
+    return percentiles.read(p2_digestos(spark, sf_dir), by="resultado_id", quantiles=QUANTILES)
+
+
+def p2_por_dia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each day over all ``resultado_id``, from the same digests."""
+    return percentiles.read(p2_digestos(spark, sf_dir), by="dia", quantiles=QUANTILES)
+
+
+def p2_postos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles held against the log: are their ranks within the stated error?"""
+    found = p2_percentis(spark, sf_dir)
+    cols = [f"p{round(q * 1000):04d}" for q in QUANTILES]
+    each = found.select("resultado_id", "metrica", "n", "erro_posto", F.explode(F.array(*[F.struct(F.lit(q).alias("quantil"), F.col(c).alias("valor")) for q, c in zip(QUANTILES, cols)])).alias("q")).select("resultado_id", "metrica", "n", "erro_posto", "q.*")
+    # the values themselves are rounded by 2 ** -24 of their size
+    slack = F.abs("valor") * 2.0**-23
+    values = table(spark, sf_dir, LOGS, "resultado_id", *METRICS).select("resultado_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metrica"), F.col(m).alias("x")) for m in METRICS]))).where("NOT isnan(x)")
+    ranks = values.select(F.col("resultado_id").alias("r"), F.col("metrica").alias("m"), "x").join(each, F.col("r").eqNullSafe(F.col("resultado_id")) & (F.col("m") == F.col("metrica")))
+    counted = ranks.groupBy("resultado_id", "metrica", "quantil", "n", "erro_posto").agg(F.count_if(F.col("x") < F.col("valor") - slack).alias("abaixo"), F.count_if(F.col("x") <= F.col("valor") + slack).alias("ate"))
+    want = F.ceil(F.col("quantil") * F.col("n") - 1e-9)
+    inside = (F.col("abaixo") - F.col("erro_posto") < want) & (want <= F.col("ate") + F.col("erro_posto")) & (F.col("erro_posto") <= 0.005 * F.col("n"))
+    return counted.select("resultado_id", "metrica", "quantil", "n", inside.alias("dentro"))
 
 
 def p2_contagens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that the digests hold: nothing is lost in folding and adding."""
-    logs = table(spark, sf_dir, "p02_brkga_logs_llm", "resultado_id", "created_at", *METRICS)
-    cut = F.to_timestamp(F.lit("2024-01-01")).cast("timestamp_ntz")
-    early = F.coalesce(F.col("created_at") < cut, F.lit(True))
-    pieces = [percentiles.digest(logs.where(c), "resultado_id", METRICS) for c in (early, ~early)]
-    return percentiles.merge(*pieces).groupBy(F.col("grupo").cast("long").alias("resultado_id"), "metrica").agg(F.sum("n").alias("n"))
+    added = percentiles.merge(p2_digestos(spark, sf_dir), by="resultado_id")
+    return added.groupBy("resultado_id", "metrica").agg(F.sum("n").alias("n"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +69,6 @@ def p4_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_excess(table(spark, sf_dir, "prontuarios"), "rec_idx", "descricao", "unidade")
 
 
-LOGS, SIMULATED, RUNS = "p02_brkga_logs_llm", "p02_brkga_simular_injection", "p02_logs_execucao"
-
-
 def _model_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(log_id, modelo): the model of the session behind each log."""
     logs = table(spark, sf_dir, LOGS, "id", "resultado_id")
@@ -155,7 +177,7 @@ def p10_unidades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentis, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p8_ids, p8_textos, p9_mistura, p9_parcelas, p9_parcelas_corpus, p10_found, p10_unidades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_digestos, p2_percentis, p2_por_dia, p2_postos, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p8_ids, p8_textos, p9_mistura, p9_parcelas, p9_parcelas_corpus, p10_found, p10_unidades)}
 _LINES = r"""
 WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
 tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),
@@ -163,9 +185,11 @@ l AS (SELECT rec_idx, unidade, unnest(string_split(descricao, chr(10))) AS line,
 k AS (SELECT rec_idx, unidade, linha, line, CASE WHEN regexp_matches(line, '\p{L}') THEN regexp_replace(lower(line), '[\s\p{Z}\p{Nd}]+', '', 'g') END AS key FROM l),
 big AS (SELECT k.unidade, k.key FROM k JOIN tot ON k.unidade IS NOT DISTINCT FROM tot.unidade WHERE key IS NOT NULL GROUP BY k.unidade, k.key, tot.total HAVING count(DISTINCT rec_idx) >= 10 AND count(DISTINCT rec_idx) >= 0.05 * tot.total - 1e-9)
 """
+_METRIC = " UNION ALL ".join(f"SELECT resultado_id, '{m}' AS metrica, {m} AS x FROM {LOGS} WHERE {m} IS NOT NULL AND NOT isnan({m})" for m in METRICS)
 SQL: dict[str, str] = {
     "p8_textos": "SELECT doc_id, coalesce(text, '') AS texto FROM documents",
-    "p2_contagens": "SELECT resultado_id, 'eval_tokens_per_second' AS metrica, CAST(count(*) AS BIGINT) AS n FROM p02_brkga_logs_llm WHERE eval_tokens_per_second IS NOT NULL AND NOT isnan(eval_tokens_per_second) GROUP BY 1 UNION ALL SELECT resultado_id, 'total_duration_sec', CAST(count(*) AS BIGINT) FROM p02_brkga_logs_llm WHERE total_duration_sec IS NOT NULL AND NOT isnan(total_duration_sec) GROUP BY 1",
+    "p2_contagens": f"SELECT resultado_id, metrica, CAST(count(*) AS BIGINT) AS n FROM ({_METRIC}) GROUP BY ALL",
+    "p2_postos": f"SELECT resultado_id, metrica, quantil, CAST(count(*) AS BIGINT) AS n, true AS dentro FROM ({_METRIC}), (SELECT CAST(unnest({QUANTILES}) AS DOUBLE) AS quantil) GROUP BY ALL",
     "p4_found": _LINES + "SELECT k.rec_idx, CAST(k.linha AS INTEGER) AS linha FROM k JOIN big ON k.unidade IS NOT DISTINCT FROM big.unidade AND k.key = big.key",
     "p4_textos": _LINES + ", kept AS (SELECT k.rec_idx, string_agg(k.line, chr(10) ORDER BY k.linha) AS texto FROM k LEFT JOIN big ON k.unidade IS NOT DISTINCT FROM big.unidade AND k.key = big.key WHERE big.key IS NULL GROUP BY k.rec_idx) SELECT r.rec_idx, CASE WHEN r.descricao IS NULL THEN NULL ELSE coalesce(kept.texto, '') END AS texto FROM r LEFT JOIN kept USING (rec_idx)",
 }
