@@ -373,6 +373,11 @@ def test_encoding_equals_the_tokenizer(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
     n = {r.doc_id: r.tokens for r in bpe.token_counts(df, "doc_id", "text").collect()}
     assert n == {i: len(x) for i, x in got.items()}
+    for few in (0, 20):  # most words are below the cut: they are joined, not looked up
+        assert {r.doc_id: r.ids for r in bpe.encode(df, "doc_id", "text", frequent=few).collect()} == got
+        assert {r.doc_id: r.tokens for r in bpe.token_counts(df, "doc_id", "text", frequent=few).collect()} == n
+    twice = bpe.with_ids(df.unionAll(df), "text", "lista", frequent=20).collect()
+    assert len(twice) == 2 * len(texts) and all(r.lista == got[r.doc_id] and r.ids == 1 for r in twice)
     assert bpe.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
@@ -388,6 +393,10 @@ def test_budgets():
     assert [x["budget"] for x in exact] == [100, 100]
     short = mixing.budgets([_leaf("a", 10, 0.5, 2), _leaf("b", 1000, 0.1, 1), _leaf("c", 1000, 0.4, 1, "x")], 200)
     assert [round(x["budget"]) for x in short] == [20, 100, 80]  # the sibling takes it all
+    cells = mixing.budgets([_leaf("a", 10, 0.3, 1), _leaf("a", 1000, 0.2, 1, "x"), _leaf("b", 1000, 0.5, 1)], 200)
+    assert [round(x["budget"]) for x in cells] == [10, 90, 100]  # the source's other leaf before the sibling
+    up = mixing.budgets([_leaf("a", 10, 0.5, 1), _leaf("b", 30, 0.1, 1), _leaf("c", 1000, 0.2, 1, "d", "m"), _leaf("e", 1000, 0.2, 1, "x")], 200)
+    assert [round(x["budget"]) for x in up] == [10, 30, 120, 40]  # the sibling's room, then the domain's
     full = mixing.budgets([_leaf("a", 10, 0.5, 1), _leaf("b", 10, 0.5, 1)], 200)
     assert [x["budget"] for x in full] == [10, 10]
     assert mixing.budgets([_leaf("a", 10, None, None)])[0]["budget"] == 0
@@ -395,7 +404,7 @@ def test_budgets():
 
 def test_mix_reaches_shares_and_repeats(spark):
     rng = random.Random(8)
-    docs = [(i, rng.choice("aaabbc"), "pt", "d", rng.randint(5, 15)) for i in range(3000)] + [(9000, None, "pt", "d", 5), (9001, "z", "pt", "d", 5), (9002, "a", None, None, 0)]
+    docs = [(i, rng.choice("aaabbc"), rng.choice(["pt", "PT", "es", None]), rng.choice(["d", "e", None]), rng.randint(5, 15)) for i in range(3000)] + [(9000, None, "pt", "d", 5), (9001, "z", "pt", "d", 5), (9002, "a", None, None, 0)]
     df = spark.createDataFrame(docs, "id long, source string, lang string, domain string, tokens int")
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.3, 3), ("c", 0.5, 4), ("vazia", 0.0, 1), ("sem", 0.1, 2)], "source string, target_share double, max_repeats int")
     used, leaves = mixing.mix(df, targets)
@@ -406,6 +415,13 @@ def test_mix_reaches_shares_and_repeats(spark):
     total = sum(r.tokens for r in rep.values())
     for s, w in (("a", 0.2), ("b", 0.3), ("c", 0.5)):
         assert abs(rep[s].tokens - rep[s].orcamento) <= 8 and abs(rep[s].tokens / total - w) < 0.01
+    assert rep["a"].folhas == 9
+    per = {}
+    for r in rows:
+        k = r.source, r.domain, r.lang
+        per[k] = per.get(k, 0) + r.tokens * r.uses
+    for x in leaves.where("size > 0").collect():  # each leaf gives its part; the largest evens out
+        assert abs(per[x.source, x.domain, x.lang] - x.budget) <= 9 * 8
     assert rep["vazia"].tokens == rep["sem"].tokens == 0 and set(rep) == {"a", "b", "c", "vazia", "sem"}
     again = sorted((r.id, r.uses) for r in mixing.mix(df.repartition(7), targets)[0].collect())
     assert again == sorted((r.id, r.uses) for r in rows)

@@ -1,17 +1,20 @@
 """Encoding of a corpus with a public byte-level tokenizer (problem 8).
 
-The merges run in Spark's higher-order functions, once for each distinct word. A word is its
-UTF-8 bytes, written as the characters 0-255; ``aggregate`` folds over it: each step merges
-the neighbours whose joined piece has the lowest rank, and keeps the ranks of the
+The merges run in Spark's higher-order functions, once for each distinct word of the corpus.
+A word is its UTF-8 bytes, written as the characters 0-255; ``aggregate`` folds over it: each
+step merges the neighbours whose joined piece has the lowest rank, and keeps the ranks of the
 neighbouring pairs beside the pieces, so a step looks two pairs up. The ranks are one
 literal of the plan: ``BUCKETS`` small maps, the bucket being a hash of the piece.
 
-Words that are a piece themselves take its rank from the vocabulary (a fixed table of some
-50,000 rows). The ids of the other distinct words are joined back to the documents'
-words, hot words spread over ``SPREAD`` copies. Decoding joins ids to pieces and concatenates their bytes.
+The distinct words and their counts are the only thing that is shuffled. The ids of the most
+frequent words (at most ``frequent``, cut at a count) become a second such literal, and are
+looked up inside each record. Words below the cut are joined by the word; the cut bounds how
+often any of them occurs, so none is a hot key. Where no word is below it, there is no join.
+Decoding looks the pieces up in a literal array and concatenates their bytes.
 
 Null and empty texts have an empty list of ids. Strings that look like control tokens are
 ordinary text. The vocabulary file is a parameter; it isn't part of this repository.
+Repeated ids and extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from velatura.session import stage
 
 BUCKETS = 8192
-SPREAD = 8
-#: Bytes from which a word's merges are done by pairs instead of by places.
+#: Distinct words whose ids are a literal of the plan, at most.
+FREQUENT = 100_000
+#: Bytes from which a word's merges are done by pairs instead of by places; the ids are the same.
 LONG_WORD = 256
 #: The pre-tokenizer of the byte-level vocabularies, in Java's dialect.
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,52 +136,93 @@ def merged_long(word: Column, table: Column) -> Column:
     return pieces(F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["t"])
 
 
-def words_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, w): the words of each document, as bytes, in order."""
-    rows = df.select(F.col(id_col).alias("doc"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORDS), F.lit(0))).alias("pos", "word"))
-    return rows.select("doc", "pos", bytes_of(F.col("word")).alias("w"))
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(w, ids) of each distinct word."""
-    spark = words.sparkSession
+def encoded_words(df: DataFrame, text_col: str, path: str) -> DataFrame:
+    """(w, n, ids) of each distinct word and its count in the corpus, as a stage table."""
+    spark = df.sparkSession
     vocab = vocabulary(spark, path)
-    distinct = words.select("w").distinct()
-    known = distinct.join(F.broadcast(vocab), distinct["w"] == vocab["piece"], "left").select("w", "rank")
-    known = stage(known, "bpe-words")
-    # bound once, or each use of the ranks would be a copy of them in the plan
-    pieces = _let(rank_map(spark, path), lambda t: F.when(F.length("w") <= LONG_WORD, merged(F.col("w"), t)).otherwise(merged_long(F.col("w"), t)))
-    rest = known.where("rank IS NULL").select("w", F.posexplode(pieces).alias("k", "piece"))
-    ids = rest.join(F.broadcast(vocab), "piece").groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rank"))), lambda x: x["rank"]).alias("ids"))
-    return known.where("rank IS NOT NULL").select("w", F.array("rank").alias("ids")).unionByName(ids)
-
-
-def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
-    """(id, ids) of each row of ``df``, whose ids must be unique."""
-    path = path or default_path()
-    words = stage(words_of(df, id_col, text_col), "bpe-doc-words")
-    table = encoded_words(words, path).withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])))
-    spread = words.withColumn("copy", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int"))
-    found = spread.join(table, ["w", "copy"]).select("doc", "pos", "ids")
-    lists = found.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    base = df.select(F.col(id_col).alias("doc"))
-    return base.join(lists, "doc", "left").select(F.col("doc").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def token_counts(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
+    counts = df.select(F.explode(words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    # a number of partitions of its own: few rows, but many seconds a row
+    counts = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "w").withColumn("b", bytes_of(F.col("w")))
+    known = counts.join(F.broadcast(vocab), F.col("b") == F.col("piece"), "left").select("w", "n", "b", "rank")
+    single = F.array(*[F.lit(ranks(path).get(bytes([i]), -1)) for i in range(256)])
+
+    # the ranks are bound once, or each use of them would be a copy in the plan
+    def folded(table: Column) -> Column:
+        pieces = F.when(F.length("b") <= LONG_WORD, merged(F.col("b"), table)).otherwise(merged_long(F.col("b"), table))
+        number = lambda p: F.when(F.length(p) == 1, F.element_at(single, F.ascii(p) + 1)).otherwise(F.element_at(F.element_at(table, _bucket_of(p) + 1), p))
+        return F.transform(pieces, number)
+
+    ids = F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(_let(rank_map(spark, path), folded))
+    return stage(known.select("w", "n", ids.alias("ids")), "bpe-words")
+
+
+def _split(table: DataFrame, value: Column, kind: str, frequent: int) -> tuple[Column, DataFrame | None]:
+    """(literal of the frequent words' values, table (w, value) of the others or None)."""
+    step = F.floor(F.log2("n") * 16).cast("int")  # at most 16 * 64 steps, whatever the corpus
+    total, cut, left = 0, None, 0
+    for r in sorted(table.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.s):
+        if left or total + r.k > frequent:
+            left += r.k
+        else:
+            total, cut = total + r.k, r.s
+    buckets: list[dict] = [{} for _ in range(BUCKETS)]
+    if cut is not None:
+        for r in table.where(step >= cut).select("w", value.alias("v"), _bucket_of(F.col("w")).alias("b")).toLocalIterator():
+            buckets[r.b][r.w] = r.v
+    literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
+    return literal, table.where(step < (cut if cut is not None else 1 << 30)).select("w", value.alias("v")) if left else None
+
+
+def _per_word(df: DataFrame, text_col: str, out: str, path: str | None, value: str, kind: str, combine, frequent: int) -> DataFrame:
+    """``df`` with a column that combines the values of its words, in order."""
+    table = encoded_words(df, text_col, path or default_path())
+    literal, rest = _split(table, F.expr(value), kind, frequent)
+    ws = F.coalesce(words(F.col(text_col)), F.array().cast("array<string>"))
+    found = lambda t, w: F.element_at(F.element_at(t, _bucket_of(w) + 1), w)
+    if rest is None:
+        return df.withColumn(out, combine(_let(literal, lambda t: F.transform(ws, lambda w: found(t, w)))))
+    each = _let(literal, lambda t: F.transform(ws, lambda w, i: F.struct(i.alias("p"), w.alias("w"), found(t, w).alias("v"))))
+    rows = stage(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("key"), each.alias("ws")), "bpe-rows")
+    rare = rows.select("key", F.inline(F.filter("ws", lambda x: x["v"].isNull()))).select("key", "p", "w").join(rest, "w")
+    rare = rare.groupBy("key").agg(F.collect_list(F.struct("p", "v")).alias("rare"))
+    done = F.transform(F.filter("ws", lambda x: x["v"].isNotNull()), lambda x: F.struct(x["p"].alias("p"), x["v"].alias("v")))
+    whole = F.array_sort(F.concat(done, F.coalesce("rare", F.array().cast(f"array<struct<p:int,v:{kind}>>"))))
+    return rows.join(rare, "key", "left").select("row.*", combine(F.transform(whole, lambda x: x["v"])).alias(out))
+
+
+def with_ids(df: DataFrame, text_col: str, out: str = "ids", path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """``df`` with the ids of each text."""
+    return _per_word(df, text_col, out, path, "ids", "array<int>", F.flatten, frequent)
+
+
+def with_token_counts(df: DataFrame, text_col: str, out: str = "tokens", path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """``df`` with the number of ids of each text."""
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    return _per_word(df, text_col, out, path, "size(ids)", "int", add, frequent)
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+    """(id, ids) of each row of ``df``."""
+    return with_ids(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_text", "ids", **how).select(id_col, "ids")
+
+
+def token_counts(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """(id, tokens): the number of ids of each text, without the ids themselves."""
-    path = path or default_path()
-    words = stage(words_of(df, id_col, text_col), "bpe-doc-words")
-    table = encoded_words(words, path).select("w", F.size("ids").alias("k")).withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])))
-    # a word counts once in a document, however often it stands there
-    spread = words.groupBy("doc", "w").agg(F.count("*").alias("n")).withColumn("copy", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int"))
-    sums = spread.join(table, ["w", "copy"]).groupBy("doc").agg(F.sum(F.col("n") * F.col("k")).alias("tokens"))
-    return df.select(F.col(id_col).alias("doc")).join(sums, "doc", "left").select(F.col("doc").alias(id_col), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return with_token_counts(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_text", "tokens", **how).select(id_col, "tokens")
+
+
+@cache
+def _piece_literal(path: str) -> str:
+    table = {v: k.decode("latin-1") for k, v in ranks(path).items()}
+    return json.dumps([table.get(i, "") for i in range(max(table) + 1)])
 
 
 def decode(encoded: DataFrame, id_col: str, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """(id, texto): the text behind the ids; an empty list gives an empty text."""
-    vocab = vocabulary(encoded.sparkSession, path or default_path())
-    rows = encoded.select(F.col(id_col).alias("doc"), F.posexplode_outer(ids_col).alias("pos", "rank")).join(F.broadcast(vocab), "rank", "left")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
-    return rows.groupBy("doc").agg(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8").alias("texto")).withColumnRenamed("doc", id_col)
+    """(id, texto): the text behind the ids; an empty list gives an empty text, null gives null."""
+    pieces = F.from_json(F.lit(_piece_literal(path or default_path())), "array<string>")
+    whole = _let(pieces, lambda t: F.array_join(F.transform(ids_col, lambda i: F.element_at(t, i + 1)), ""))
+    return encoded.select(id_col, F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8").alias("texto"))

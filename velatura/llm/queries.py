@@ -149,15 +149,14 @@ def p8_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "tipo_documento")
-    sizes = bpe.token_counts(docs, "doc_id", "text")
-    rows = docs.select("doc_id", "source", "lang", "tipo_documento").join(sizes, "doc_id").toDF("id", "source", "lang", "domain", "tokens")
+    rows = bpe.with_token_counts(docs, "text").select(F.col("doc_id").alias("id"), "source", "lang", F.col("tipo_documento").alias("domain"), "tokens")
     sized, targets = stage(rows, "mix-sizes"), table(spark, sf_dir, "mix_targets")
     total = sized.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("tokens")).first()[0] if whole else None
     return mixing.mix(sized, targets, total)
 
 
 def p9_mistura(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+    return _mix(spark, sf_dir)[0].select(F.col("id").alias("doc_id"), "source", "tokens", "uses")
 
 
 def p9_parcelas(spark: SparkSession, sf_dir: str) -> DataFrame:
