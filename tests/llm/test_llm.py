@@ -135,7 +135,7 @@ def test_a_group_that_does_not_fit_is_folded_while_it_is_read(monkeypatch):
     frames = (pd.DataFrame({"chave": "a", "metrica": "x", "no": percentiles.leaf_of(p) + (1 << 32), "n": 1}) for p in np.split(x, 500))
     out = pd.concat(percentiles._groups(k, percentiles._nodes)(frames))
     assert out["n"].sum() == 50_000 and max(seen) < 1_000
-    got = percentiles._read([0.5], k)("a", "x", out["no"].to_numpy(), out["n"].to_numpy()).iloc[0]
+    got = percentiles._read([0.5], k)(["a"], ["x"], np.zeros(len(out), int), out["no"].to_numpy(), out["n"].to_numpy()).iloc[0]
     assert abs((x <= got.p0500).sum() - 25_000) <= got.erro_posto + 2
 
 
@@ -156,13 +156,31 @@ def test_percentiles_small_groups_are_exact_and_empty_ones_missing(spark):
         ('{"map_nomes": []}', "inteiro"), ('```json\n{"a": [1]}\n```', "inteiro"), ('{"a": "x \\" y"}\nObs.: nada.', "inteiro"),
         ('{"a": ["b"', "estrutura"), ('{"a": "b', "estrutura"), ('{"a": "\\u00', "estrutura"), ('```json\n{"a": 1}', "estrutura"), ('{"a": 1}\nObs.: mar', "aberto"),
         ("Terminou bem.", "inteiro"), ("Encerrado…", "inteiro"), ("Restou dúvida? Não.", "inteiro"), ("Vou entregar o objeto:", "inteiro"), ("终于完成。", "inteiro"), ('Ele disse "sim."', "inteiro"),
-        ("O hospital é ci", "aberto"), ("Avaliado pelo Dr.", "aberto"), ("uma, duas,", "aberto"), ("Depois de ler a no�", "aberto"), ("Assinou Ana C.", "aberto"),
+        ('{"a": 1]', "estrutura"), ('{"a": [1}, "b": 2', "estrutura"), ('Ele disse "vou embora.', "estrutura"), ("<b>texto.", "estrutura"), ("<p>um <b>dois</b>.</p>", "inteiro"), ("linha<br>outra.", "inteiro"), ("Segue <PATIENT>Ana</PATIENT/>.", "inteiro"), ("Fim. </p", "estrutura"),
+        ("Disse “não. Depois saiu.", "estrutura"), ("Uma linha “aberta\nOutra fechada.", "inteiro"), ('Tubo de 5" e nada mais.', "inteiro"), ("Texto (com nota.", "estrutura"), ("Tudo bem :( hoje.", "inteiro"), ('"""\nTexto copiado.\n"""', "inteiro"), ("Depois de ler a no\ufffd", "estrutura"), ("fim \\u00e", "estrutura"), ("fim\\", "estrutura"),
+        ("Frase inteira. " * 3_000 + "resto sem f", "aberto"), ("null" + " " * 500, "vazio"),
+        ("O hospital é ci", "aberto"), ("Avaliado pelo Dr.", "aberto"), ("uma, duas,", "aberto"), ("Assinou Ana C.", "aberto"),
     ],
 )
 def test_states(text, want):
     assert truncation.state(text)[0] == want
 
 
+def test_last_lines_are_compared_whole(spark):
+    """Two long last lines that differ before their last 120 characters only."""
+    end = " e assim por diante" * 20
+    rows = [(i, f"Texto {'x' * i}\nA{end}") for i in range(20)] + [(50, f"Texto\nB{end}")]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", F.lit("m").alias("g"), truncation.ending("t").alias("s"))
+    assert [r.id for r in truncation.cut(df, ["g"]).where("cortado").collect()] == [50]
+
+
+@pytest.mark.parametrize("n, cut", [(2, True), (3, False), (40, False)])
+def test_a_baseline_grows_with_its_evidence(spark, n, cut):
+    rows = [(i, f"Texto próprio e longo {'x' * i}\nSem mais nada a dizer") for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", F.lit("m").alias("g"), truncation.ending("t").alias("s"))
+    assert {r.cortado for r in truncation.cut(df, ["g"]).collect()} == {cut}
+
+
 def test_natural_endings_are_no_cut(spark):
     rows = [(i, "Nada mais consta") for i in range(30)] + [(100 + i, f"Fim número {i}.") for i in range(100)] + [(300, "O paciente foi ent"), (301, "- nomes: 2"), (302, None), (303, " ")]
     df = spark.createDataFrame(rows, "id long, t string").select("id", F.lit("m").alias("g"), truncation.ending("t").alias("s"))
@@ -194,7 +212,8 @@ NOTE = "Paciente de 54 anos, carteiro, procura o serviço por tosse produtiva in
         ("p", "Desculpe, mas não posso ajudar com a extração de dados pessoais.", "recusa"), ("p", "I cannot comply with this request.", "recusa"), (None, "Lo siento, no puedo ayudar con eso.", "recusa"),
         ('{"map_nomes": []}', '{"map_nomes": []}\nNão posso confirmar os termos duvidosos sem mais contexto.', None),
         ("Leia. " + NOTE, NOTE.upper(), "copia"), ("Leia. " + NOTE, "> " + NOTE.replace(" ", "  ").replace("ontem", "hoje"), "copia"),
-        ("Leia. " + NOTE, "O texto não contém dados pessoais além dos marcadores.", None),
+        ("Leia. " + NOTE, "O texto não contém dados pessoais além dos marcadores.", None), ("Olá, tudo bem?", "olá tudo bem", "copia"), ("Qual o nome? " + NOTE, "tosse produtiva", None),
+        ("Leia.\n\n" + NOTE, '{"map_outros": ["' + NOTE + '"]}', "copia"), ("Leia.\n\n" + NOTE, '{"map_outros": ["54 anos", "carteiro"]}', None),
         ("p", "After reading the note I found these identifiers: Ana Lima. The remaining words are medical terms.", "outro_idioma"),
         ("p", "El texto contiene estos identificadores que deben ocultarse: Ana Lima. No hay más elementos en el registro.", "outro_idioma"),
         ("p", "根据病历内容,我找到了以下个人信息:Ana。", "outro_idioma"), ("p", '{"names_of_people": ["Ana"], "explanation": "These strings look like people, so they must be removed from the note."}', "outro_idioma"),
@@ -258,11 +277,38 @@ def test_excess_lines_against_brute_force(spark):
     big = {x for x, n in seen.items() if n >= 10 and n >= 0.05 * total[x[0]]}
     want = {(i, n) for i, s, t in rows if t for n, x in enumerate(t.split("\n")) if (s, key(x)) in big}
     assert got == want and want
+    joined = site_lines.excess_places(df, "id", "t", "src", broadcast_lines=0)  # too many lines for a broadcast
+    assert {(r.id, r.linha) for r in joined.collect()} == got
     clean = {r.id: r.texto for r in site_lines.without_excess(df, "id", "t", "src").collect()}
+    assert clean == {r.id: r.texto for r in site_lines.without_excess(df, "id", "t", "src", broadcast_lines=0).collect()}
     for i, s, t in rows:
         assert clean[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want))
 
 
+def test_the_ratio_decides(spark):
+    """Two lines in the same share of A's records: one stands elsewhere as often, the other nowhere."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        src = "ABC"[i % 3]
+        lines = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(3)]
+        if rng.random() < 0.3:
+            lines.append("linha de todos")
+        if src == "A" and rng.random() < 0.3:
+            lines.append("linha só de A")
+        if rng.random() < (0.2 if src == "B" else 0.17):  # the difference is chance
+            lines.append("quase igual")
+        rows.append((i, src, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "id long, src string, t string")
+    own = {(r.src, r.key) for r in site_lines.excess_lines(df, "id", "t", "src", against="line").collect()}
+    assert own == {("A", "linhasódea")}
+    thresholds = {(r.src, r.key) for r in site_lines.excess_lines(df, "id", "t", "src").collect()}
+    assert len(thresholds) == 7  # what 5 % and 10 records alone would give
+    # forms: every record has the same eight lines out of ten, none is more frequent than lines are
+    forms = [(i, "ABC"[i % 3], "\n".join(rng.sample([f"campo {x}" for x in "abcdefghij"], 8))) for i in range(300)]
+    assert site_lines.excess_lines(spark.createDataFrame(forms, df.schema), "id", "t", "src").count() == 0
+
+
 def test_excess_lines_of_nothing(spark):
     df = spark.createDataFrame([], "id long, src string, t string")
     assert site_lines.excess_places(df, "id", "t", "src").count() == 0 and site_lines.without_excess(df, "id", "t", "src").count() == 0

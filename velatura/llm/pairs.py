@@ -3,8 +3,10 @@
 One label a pair, the first that holds:
 
 * ``vazia``: no real content (as in ``truncation``);
-* ``copia``: the response, normalised and compressed with the prompt as the zstandard
-  dictionary, takes at most the share ``copy_limit`` of its size compressed alone;
+* ``copia``: the response, normalised, is the prompt, or compressed with the prompt as the
+  zstandard dictionary takes at most the share ``copy_limit`` of its size compressed alone; of
+  an answer with keys, each text value at least half as long as the prompt's longest passage
+  is held against the prompt instead (shorter ones are what was asked for);
 * ``recusa``: an answer without any structure has a refusal phrase of some language in its
   first 200 characters, or anywhere later in a sentence of its own that isn't quoted or
   taken from the prompt and in which the phrase declines a task in the first person;
@@ -63,14 +65,14 @@ ANYWHERE = REFUSALS | {
     "zh": "(?:我|抱歉|对不起|對不起)[^。!?]{0,12}(?:无法|無法|不能)(?:提供|帮助|协助|处理|完成|回答)|(?:我|必须)拒绝",
     "ja": "(?:ご要望|お手伝い|対応|提供|お答え|抽出)[^。]{0,8}できません|お断り(?:し|いた)",
 }
-# Frequent function words that tell the languages apart
+# Closed-class words (articles, prepositions, pronouns, conjunctions, auxiliaries, adverbs)
 FUNCTION_WORDS = {
-    "pt": "não os das dos nos nas ao aos à às um uma uns umas em no na com foi são está estão é como mais mas pelo pela também conforme há aparecem deve ser quem consta constam nota texto lugar entre números contatos encontrei outros elementos permitam reconhecer ou equipe demais palavras pertencem podem permanecer visíveis nenhum foi encontrado trecho segue resultado da análise resposta depois ler estes identifiquei trechos abaixo obs marcadores sistema termos inglês laudo posso confirmar duvidosos sem idade ocupação informada descrita citadas pessoas copiado original restante conteúdo descreve sintomas risco contém dados pessoais além listar aqui nomes endereços locais mencionados".split(),
-    "es": "el los las del al y un una unos unas en con fue son está están es como más pero por también según hay no nota texto contiene estos siguientes deben después revisar encontré datos personales demás términos clínicos hace falta registro elementos quitarlos ocultarse que la de lo se su sus".split(),
-    "en": "the of and to in a is are was were that it for on with as this these those be from by at an or not here what found other words may stay note text contains after reading following there which their they has have can i sure".split(),
-    "fr": "le les des du et un une dans en est sont pour sur avec ce ces cette qui que ne pas par au aux la note voici éléments mots autres relèvent sont il elle je nous vous texte suivants".split(),
-    "de": "der die das und ein eine in ist sind für auf mit dem den des nicht im zu von folgende folgenden stehen alle wörter begriffe angaben es ich sie er als auch".split(),
-    "it": "il gli delle dei e un una nel nella sono è per con che non di la della testo seguenti dati altri parole".split(),
+    "pt": "o a os as um uma uns umas de do da dos das em no na nos nas num numa por pelo pela pelos pelas para com sem sob sobre entre até desde após ao aos à às e ou mas nem que se como quando porque pois porém embora conforme segundo eu ele ela eles elas nós você vocês me lhe lhes seu sua seus suas meu minha este esta estes estas isto esse essa esses essas isso aquele aquela aquilo qual quais quem cujo cuja todo toda todos todas outro outra outros outras algum alguma alguns algumas nenhum nenhuma cada mesmo mesma demais é são foi foram ser era eram está estão estava estar há houve ter tem têm tinha haver pode podem posso deve devem não sim já ainda também só apenas mais menos muito muita bem aqui ali abaixo acima depois antes hoje além onde".split(),
+    "es": "el la los las un una unos unas de del en por para con sin sobre entre hasta desde tras al a y e o u pero ni que si como cuando porque pues aunque según yo él ella ellos ellas nosotros usted ustedes me le les lo su sus mi mis este esta estos estas esto ese esa esos esas eso aquel aquella cual cuales quien cuyo todo toda todos todas otro otra otros otras algún alguna algunos algunas ningún ninguna cada mismo misma demás es son fue fueron ser era eran está están estaba estar hay hubo haber ha han tiene tienen puede pueden puedo debe deben hace no sí ya aún también sólo solo más menos muy mucho bien aquí allí abajo arriba después antes hoy además donde siguientes se".split(),
+    "en": "the a an of in on at by for with without from to into over under between after before about through and or but nor that if as when while because than so not i you he she it we they me him her us them my your his its our their this these those who whom which whose all any each every some other others no only own same is are was were be been being am do does did has have had having can could may might must shall should will would there here what where how very also just more most such then yes sure now".split(),
+    "fr": "le la les un une des de du en dans par pour avec sans sous sur entre vers chez à au aux et ou mais ni que qui dont où si comme quand lorsque car je tu il elle nous vous ils elles on me te se lui leur leurs mon ma mes ton ta son sa ses notre votre ce cet cette ces cela ceci tout toute tous toutes autre autres quelque aucun aucune chaque même est sont était étaient être été a ont avait avoir peut peuvent doit doivent ne pas plus moins très aussi bien ici là voici voilà après avant".split(),
+    "de": "der die das den dem des ein eine einen einem einer eines in im an am auf aus bei mit nach von vom zu zum zur für über unter durch um ohne und oder aber denn dass wenn als wie weil ob ich du er sie es wir ihr mich mir dich ihm ihn uns euch mein sein ihre ihren dieser diese dieses diesem diesen jener welche alle alles andere anderen kein keine jeder jede selbst ist sind war waren sein bin hat haben hatte kann können darf muss soll wird werden worden nicht auch nur noch schon sehr mehr hier dort da so dann danach".split(),
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle in nel nello nella nei negli nelle da dal dalla a al allo alla ai agli alle con su sul sulla per tra fra senza e ed o ma né che se come quando perché mentre io tu lui lei noi voi loro mi ti si ci vi suo sua suoi sue mio questo questa questi queste quello quella quale quali chi cui tutto tutta tutti tutte altro altra altri altre alcuni alcune nessun nessuna ogni stesso è sono era erano essere stato ha hanno aveva avere può possono deve devono non più meno molto anche solo qui lì dopo prima sotto sopra".split(),
 }
 _WORDS_OF = {}
 for _l, _ws in FUNCTION_WORDS.items():
@@ -136,26 +138,36 @@ def _flat(text: str) -> str:
 
 
 def copy_rate(prompt: str | None, answer: str) -> float:
-    """Compressed size with the prompt as dictionary over the size without; 9 if it can't be a copy."""
-    if not prompt or len(answer) < 24:
-        return 9.0
-    p, a = _flat(prompt).encode(), _flat(answer).encode()
-    if len(a) < 20 or not p:
+    """Compressed size with the prompt as dictionary over the size without; 0 if equal, 9 if either is empty."""
+    p, a = _flat(prompt or "").encode(), _flat(answer).encode()
+    if not a or not p:
         return 9.0
+    if a == p:
+        return 0.0
     alone = len(zstandard.ZstdCompressor(level=3).compress(a)) - 9
     given = len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(a)) - 9
     return max(0, given) / max(1, alone)
 
 
+_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"\s*(:?)')
+_PASSAGE = re.compile(r'\n\s*\n|"{3,}|`{3,}')
+
+
+def copied_value(prompt: str | None, answer: str, copy_limit: float) -> bool:
+    """A text value of an answer with keys gives back a passage of the prompt."""
+    longest = max(map(len, _PASSAGE.split(prompt or "")), default=0)
+    return longest > 0 and any(2 * len(v) >= longest and copy_rate(prompt, v.replace("\\n", "\n")) <= copy_limit for v, key in _STRING.findall(answer) if not key)
+
+
 def defect(prompt: str | None, answer: str | None, copy_limit: float) -> tuple[str | None, str | None, str | None]:
     """(defect but for the cut ones, state, folded last line)."""
     st, tail = truncation.state(answer)
     if st == "vazio":
         return "vazia", st, tail
     structured = '"' in answer and "{" in answer
-    if not structured or "map_" not in answer and "classificacao" not in answer:
-        if copy_rate(prompt, answer) <= copy_limit:
-            return "copia", st, tail
+    keyed = structured and ("map_" in answer or "classificacao" in answer)
+    if copied_value(prompt, answer, copy_limit) if keyed else copy_rate(prompt, answer) <= copy_limit:
+        return "copia", st, tail
     if not structured and refuses(prompt, answer):
         return "recusa", st, tail
     if foreign(answer):

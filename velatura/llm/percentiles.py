@@ -159,43 +159,50 @@ def digest(df: DataFrame, by: str | list[str], metrics: list[str], eps: float =
 
 
 def _groups(k: int, finish):
-    """Sorted digest rows -> ``finish(key, metric, nodes, counts)`` of each whole group."""
+    """Sorted digest rows -> ``finish(keys, metrics, group, nodes, counts)`` of whole groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []  # pieces of the group that is being read
+        held: list = []  # pieces of the group that may go on in the next batch
         size, key = 0, None
 
         def fold():
             v, c = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            return compress(np.zeros(len(v), np.int64), v, c, k)[1:]
+            return compress(np.zeros(len(v), np.int64), v, c, k)
 
         for b in batches:
+            if not len(b):
+                continue
             chave, metrica = b["chave"].to_numpy(), b["metrica"].to_numpy()
             no, n = b["no"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
-            border = np.nonzero((chave[1:] != chave[:-1]) | (metrica[1:] != metrica[:-1]))[0] + 1
-            done = []
-            for s, e in zip([0, *border], [*border, len(b)]):
-                if e <= s:
-                    continue
-                if key != (chave[s], metrica[s]):
-                    if held:
-                        done.append(finish(*key, *fold()))
-                    held, size, key = [], 0, (chave[s], metrica[s])
-                held.append((no[s:e], n[s:e]))
-                size += e - s
+            starts = np.r_[0, np.nonzero((chave[1:] != chave[:-1]) | (metrica[1:] != metrica[:-1]))[0] + 1]
+            first = 0
+            if held and key == (chave[0], metrica[0]):
+                end = starts[1] if len(starts) > 1 else len(b)
+                held.append((no[:end], n[:end]))
+                size += end
                 if size > max(_FLUSH, 8 * k):  # what is held is a piece of its own: fold it
-                    held = [fold()]
+                    held = [fold()[1:]]
                     size = len(held[0][0])
+                if len(starts) == 1:
+                    continue
+                first = 1
+            done = [finish([key[0]], [key[1]], *fold())] if held else []
+            low, high = starts[first], starts[-1]
+            if low < high:
+                at = starts[first:-1]
+                group = np.repeat(np.arange(len(at)), np.diff(starts[first:]))
+                done.append(finish(chave[at], metrica[at], *compress(group, no[low:high], n[low:high], k)))
+            held, size, key = [(no[high:], n[high:])], len(b) - high, (chave[high], metrica[high])
             if done:
                 yield pd.concat(done, ignore_index=True)
         if held:
-            yield finish(*key, *fold())
+            yield finish([key[0]], [key[1]], *fold())
 
     return run
 
 
-def _nodes(key: str, metric: str, v: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"chave": key, "metrica": metric, "parte": np.zeros(len(v), np.int32), "no": v, "n": c})
+def _nodes(keys, metrics, group: np.ndarray, v: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"chave": np.asarray(keys, object)[group], "metrica": np.asarray(metrics, object)[group], "parte": np.zeros(len(v), np.int32), "no": v, "n": c})
 
 
 def _added(nodes: DataFrame, parts: int, eps: float, finish=_nodes, schema: str = _NODES) -> DataFrame:
@@ -222,17 +229,22 @@ def merge(*digests: DataFrame, by: str | list[str], eps: float = 0.005) -> DataF
 
 
 def _read(quantiles: list[float], k: int):
-    def one(key: str, metric: str, v: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    def rows(keys, metrics, group: np.ndarray, v: np.ndarray, c: np.ndarray) -> pd.DataFrame:
         depth = np.floor(np.log2(v.astype(np.float64))).astype(np.int64)
         high = ((v + 1) << (BITS - depth)) - 1 - (1 << BITS)
-        order = np.lexsort((-depth, high))
-        high, upto = high[order], np.cumsum(c[order])
-        n = int(upto[-1])
-        at = np.searchsorted(upto, [max(1, ceil(q * n - 1e-9)) for q in quantiles])
-        row = {"chave": key, "metrica": metric, "n": n, "erro_posto": int(BITS * (n // k))}
-        return pd.DataFrame([row | {f"p{round(q * 1000):04d}": x for q, x in zip(quantiles, value_of(np.clip(high[at], *_ENDS)))}])
-
-    return one
+        order = np.lexsort((-depth, high, group))
+        group, high, c = group[order], high[order], c[order]
+        ends = np.searchsorted(group, np.arange(len(keys) + 1))
+        ns, found = [], []
+        for s, e in zip(ends, ends[1:]):
+            upto = np.cumsum(c[s:e])
+            ns.append(int(upto[-1]))
+            found.append(high[s + np.searchsorted(upto, [max(1, ceil(q * ns[-1] - 1e-9)) for q in quantiles])])
+        values = value_of(np.clip(np.array(found), *_ENDS))
+        own = {"chave": list(keys), "metrica": list(metrics), "n": ns, "erro_posto": [int(BITS * (n // k)) for n in ns]}
+        return pd.DataFrame(own | {f"p{round(q * 1000):04d}": values[:, i] for i, q in enumerate(quantiles)})
+
+    return rows
 
 
 def read(*digests: DataFrame, by: str | list[str], quantiles: list[float], eps: float = 0.005) -> DataFrame:

@@ -65,6 +65,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.excess_places(table(spark, sf_dir, "prontuarios"), "rec_idx", "descricao", "unidade")
 
 
+def p4_proprias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that set a unit apart: excess over the same line elsewhere, which the ratio alone decides."""
+    found = site_lines.excess_lines(table(spark, sf_dir, "prontuarios"), "rec_idx", "descricao", "unidade", against="line")
+    return found.select(F.nullif("src", F.lit("\u0000")).alias("unidade"), F.col("key").alias("linha"), "k", "total", "g")
+
+
 def p4_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_excess(table(spark, sf_dir, "prontuarios"), "rec_idx", "descricao", "unidade")
 
@@ -78,12 +84,12 @@ def _model_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tabela, campo, id, modelo, cortado) of both fields."""
+    """(tabela, campo, id, modelo, done_reason, cortado) of both fields."""
     model = _model_of_log(spark, sf_dir)
-    a = table(spark, sf_dir, LOGS, "id", "resposta_bruta").select(F.lit(LOGS).alias("tabela"), F.lit("resposta_bruta").alias("campo"), "id", F.col("id").alias("log_id"), truncation.ending("resposta_bruta").alias("s"))
-    b = table(spark, sf_dir, SIMULATED, "id", "log_llm_id", "raciocinio").select(F.lit(SIMULATED).alias("tabela"), F.lit("raciocinio").alias("campo"), "id", F.col("log_llm_id").alias("log_id"), truncation.ending("raciocinio").alias("s"))
+    fields = [(LOGS, "resposta_bruta", "id"), (SIMULATED, "raciocinio", "log_llm_id")]
+    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("tabela"), F.lit(field).alias("campo"), "id", F.col(log).alias("log_id"), "done_reason", truncation.ending(field).alias("s")) for name, field, log in fields]
     # the texts are read once; only their states go on
-    states = stage(a.unionByName(b).join(model, "log_id", "left"), "endings")
+    states = stage(parts[0].unionByName(parts[1]).join(model, "log_id", "left"), "endings")
     return truncation.cut(states, ["tabela", "campo", "modelo"])
 
 
@@ -92,7 +98,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_taxas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _endings(spark, sf_dir).groupBy("modelo", "tabela", "campo").agg(F.count("*").alias("valores"), F.count_if(F.col("s.estado") != "vazio").alias("com_conteudo"), F.count_if("cortado").alias("cortados"))
+    """How often each model's texts are cut, and how often ``done_reason`` says otherwise."""
+    said = F.lower("done_reason") == "length"
+    return _endings(spark, sf_dir).groupBy("modelo", "tabela", "campo").agg(
+        F.count("*").alias("valores"),
+        F.count_if(F.col("s.estado") != "vazio").alias("com_conteudo"),
+        F.count_if("cortado").alias("cortados"),
+        F.count_if(F.col("cortado") & ~F.coalesce(said, F.lit(False))).alias("cortados_sem_aviso"),
+        F.count_if(~F.col("cortado") & said).alias("aviso_sem_corte"),
+    )
 
 
 def _reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +190,7 @@ def p10_unidades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_digestos, p2_percentis, p2_por_dia, p2_postos, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p8_ids, p8_textos, p9_mistura, p9_parcelas, p9_parcelas_corpus, p10_found, p10_unidades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_digestos, p2_percentis, p2_por_dia, p2_postos, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p4_proprias, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p8_ids, p8_textos, p9_mistura, p9_parcelas, p9_parcelas_corpus, p10_found, p10_unidades)}
 _LINES = r"""
 WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
 tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),

@@ -1,23 +1,25 @@
 """Texts cut off before their end (problem 3).
 
-``state`` reads the whole text once with a stack automaton over quotes, escapes,
-brackets, braces and fences, and then looks at how what follows the last closed
-structure ends:
+``state`` reads the whole text once with a stack automaton. Its stack holds what is open, by
+kind: braces and brackets of structures, strings inside them (with their escapes), fences,
+markup tags, and in prose quotation marks and parentheses, which a line break ends. A closing
+mark pops its own kind only. What is still open at the end, or how the end looks, gives the state:
 
 * ``vazio``: null, blank, or only signs, fences, an empty structure or a placeholder;
-* ``estrutura``: a structure, string, escape or fence is still open;
+* ``estrutura``: a structure, string, fence, tag, quotation or parenthesis is still open, or
+  the text ends inside an escape, a tag or a multibyte sequence;
 * ``inteiro``: ends with a terminator of some script (also behind closing marks), an
   announcement (colon), or a closed structure;
-* ``aberto``: ends without a terminator, with a comma or hyphen, after an abbreviation,
-  or with a broken multibyte sequence.
-
-An ``aberto`` text isn't cut where its source usually ends so: the last line, with its
-digits folded, is the natural ending of at least ``natural`` of the different texts of
-that source and field. Copies of a text count once, so a cut answer that is retried or
-copied doesn't make its own ending natural; only of answers of at most three words, which
-are repeated as they are, every row counts. A short list entry (``label: value``) is no
-cut either, unless it is the beginning of an entry that ends at least ten times as many
-different texts of its table.
+* ``aberto``: ends without a terminator, with a comma or hyphen, or after an abbreviation.
+
+An ``aberto`` text isn't cut where its source usually ends so: the whole last line, with its
+digits folded, ends at least the share ``natural`` of the different texts of that source and
+field, ``prior`` more texts that end otherwise being added (so the evidence for a baseline
+grows with the texts that show it, and there is no least size). Copies of a text count once, so a
+cut answer that is retried or copied doesn't make its own ending natural; only of answers of at
+most three words, which are repeated as they are, every row counts. A short list entry (``label:
+value``) is no cut either, unless it is the beginning of an entry that ends at least ten times
+as many different texts of its table.
 """
 
 from __future__ import annotations
@@ -44,6 +46,16 @@ _OPEN = re.compile(r'[{\[](?=\s*(?:["{}\[\]]|$))')
 _FENCE = re.compile(r"^\s*```\w*[ \t]*\n?|\n?```\s*$")
 _ENTRY = re.compile(r"^[\s\-*•·–\d.)]*[^\W\d_]+(?: [^\W\d_]+){0,2}: \S+(?: \S+)?$")
 _ALNUM = re.compile(r"[^\W_]+")
+_TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)(?:\s[^<>]*)?(/?)>")
+_CLOSED_TAGS = re.compile(r"(?:\s*</[A-Za-z][\w-]*\s*/?>)+\s*\Z")
+_TAG_END = re.compile(r"</?[A-Za-z][^<>\n]{0,40}\Z")
+# Tags that are never closed
+_VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "source", "embed", "track"}
+_PROSE_MARK = re.compile(r'"{3,}|["“”«»「」『』()（）]')
+_PAIR = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "）": "（"}
+_SMILEY = re.compile(r"(?:^|\s)[:;=]-?\Z")
+_ESCAPE_END = re.compile(r"(?<!\\)(?:\\\\)*\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?\Z")
+_BROKEN_END = re.compile("[\ufffd\ud800-\udfff]\\Z")
 
 
 def is_empty(text: str | None) -> bool:
@@ -56,11 +68,8 @@ def is_empty(text: str | None) -> bool:
 
 def _structure_end(s: str, start: int) -> int:
     """Place after the structure that opens at ``start``, or -1 if it never closes."""
-    depth, i, n = 0, start, len(s)
-    while i < n:
-        m = _MARK.search(s, i)
-        if not m:
-            return -1
+    stack, i = [], start
+    while m := _MARK.search(s, i):
         c, i = s[m.start()], m.end()
         if c == '"':  # inside a string only its end and escapes count
             while True:
@@ -74,32 +83,66 @@ def _structure_end(s: str, start: int) -> int:
                 if (j - k) % 2 == 0:
                     break
         elif c in "{[":
-            depth += 1
-        elif c in "}]":
-            depth -= 1
-            if depth <= 0:
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]" and c == stack[-1]:  # another kind of closing mark closes nothing
+            stack.pop()
+            if not stack:
                 return i
     return -1
 
 
+def _tags_open(s: str) -> bool:
+    """A markup tag of the text is still open, or the text ends inside one."""
+    if "<" not in s:
+        return False
+    stack: list[str] = []
+    for m in _TAG.finditer(s):
+        name = m.group(2).lower()
+        if m.group(1):
+            if name in stack:  # what was opened inside ends with it
+                del stack[len(stack) - 1 - stack[::-1].index(name) :]
+        elif not m.group(3) and name not in _VOID:
+            stack.append(name)
+    return bool(stack) or bool(_TAG_END.search(s))
+
+
+def _quotes_open(s: str) -> bool:
+    """A quotation or parenthesis of the last line is still open."""
+    stack: list[str] = []
+    for m in _PROSE_MARK.finditer(s, s.rstrip().rfind("\n") + 1):
+        c, at = m.group(), m.start()
+        if len(c) > 1:
+            continue  # a fence of quotes, not a quotation
+        if c == '"':
+            if '"' in stack:
+                del stack[stack.index('"') :]
+            elif not (at and s[at - 1].isalnum()):  # 5" or a closing mark alone opens nothing
+                stack.append(c)
+        elif c in _PAIR:
+            if _PAIR[c] in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(_PAIR[c]) :]
+        elif not (c == "(" and _SMILEY.search(s, max(0, at - 3), at)):
+            stack.append(c)
+    return bool(stack)
+
+
 def _tail(s: str) -> tuple[str, str | None]:
     line = s.rstrip().rsplit("\n", 1)[-1]
     key = re.sub(r"\d+", "#", line.strip(" \t\r-*•·–")).casefold()
-    if _ENTRY.match(line.strip()):
-        key = "\x01" + key
-    return "aberto", key[-120:]
+    return "aberto", "\x01" + key if _ENTRY.match(line.strip()) else xxhash.xxh3_128_hexdigest(key.encode("utf-8", "surrogatepass"))
 
 
 def _prose(s: str) -> tuple[str, str | None]:
+    if s.endswith(">"):
+        s = _CLOSED_TAGS.sub("", s)
     core = s.rstrip(_CLOSERS)
     if not core:
         return "inteiro", None
+    if _quotes_open(s):
+        return "estrutura", None
     last = core[-1]
     if last not in _TERMINAL:
         return _tail(s)
-    line = core[core.rfind("\n") + 1 :]
-    if s[len(core) :].strip() == "" and (line.count("(") > line.count(")") and not re.search(r"(?:^|\s)[:;]-?\($", line) or line.count("“") > line.count("”") or line.count("«") > line.count("»")):
-        return "estrutura", None
     if last == ".":
         token = re.split(r"[\s(\[\"“«]", core)[-1][:-1]
         if token and (token.casefold() in ABBREVIATIONS or (len(token) == 1 and token.isupper()) or re.fullmatch(r"\d+(?:\.\d+)+", token)):
@@ -118,10 +161,9 @@ def state(text: str | None) -> tuple[str, str | None]:
             return "inteiro", None
         except ValueError:
             pass
-    fences = s.count("```")
-    if fences % 2:
+    if s.count("```") % 2 or _BROKEN_END.search(s) or _ESCAPE_END.search(s):
         return "estrutura", None
-    if fences:
+    if "```" in s:
         s = _FENCE.sub("", s).strip() or s
     at, rest = 0, s
     if "{" in s or "[" in s:
@@ -133,6 +175,8 @@ def state(text: str | None) -> tuple[str, str | None]:
         rest = s[at:]
         if at and not rest.strip("` \n\t\r.;"):
             return "inteiro", None
+    if _tags_open(s):
+        return "estrutura", None
     return _prose(rest)
 
 
@@ -162,12 +206,12 @@ def different_texts(states: DataFrame, group: list[str]) -> DataFrame:
     return rows.withColumn("w", F.when(F.col("curto"), F.col("w")).otherwise(F.lit(1)))
 
 
-def natural_endings(texts: DataFrame, group: list[str], natural: float, least: int) -> DataFrame:
+def natural_endings(texts: DataFrame, group: list[str], natural: float, prior: int) -> DataFrame:
     """(group, fim) of the last lines that are no cut: at most 1/natural of them a group."""
     total = texts.groupBy(*group).agg(F.sum("w").alias("n"))
     ends = texts.where("estado = 'aberto'").groupBy(*group, "fim").agg(F.sum("w").alias("k"))
     on = [ends[g].eqNullSafe(total[g]) for g in group]
-    return ends.join(total, on).where((F.col("k") >= natural * F.col("n")) & (F.col("k") >= least)).select(*[ends[g] for g in group], "fim", F.lit(True).alias("natural"))
+    return ends.join(total, on).where(F.col("k") >= natural * (F.col("n") + prior)).select(*[ends[g] for g in group], "fim", F.lit(True).alias("natural"))
 
 
 def begun_entries(texts: DataFrame, group: list[str], times: int = 10) -> DataFrame:
@@ -179,13 +223,13 @@ def begun_entries(texts: DataFrame, group: list[str], times: int = 10) -> DataFr
     return ends.join(starts, on).where(F.col("b_k") >= times * F.col("k")).select(*group, "fim", F.lit(True).alias("begun"))
 
 
-def cut(states: DataFrame, group: list[str], natural: float = 0.01, least: int = 8) -> DataFrame:
+def cut(states: DataFrame, group: list[str], natural: float = 0.01, prior: int = 200) -> DataFrame:
     """Adds ``cortado`` to rows with the column ``s`` that ``ending`` gives.
 
     ``group`` begins with the table, within which entries are compared.
     """
     texts = different_texts(states, group)
-    usual = _renamed(natural_endings(texts, group, natural, least), group, "u")
+    usual = _renamed(natural_endings(texts, group, natural, prior), group, "u")
     begun = _renamed(begun_entries(different_texts(states, group[:1]), group[:1]), group[:1], "v")
     out = states.join(usual, _same(group, "u"), "left").join(begun, _same(group[:1], "v"), "left")
     fits = F.when(F.col("s.fim").startswith("\x01"), F.col("begun").isNull()).otherwise(F.lit(False))
