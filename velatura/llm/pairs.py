@@ -7,8 +7,8 @@ One label a pair, the first that holds:
   zstandard dictionary takes at most the share ``copy_limit`` of its size compressed alone; of
   an answer with keys, each text value at least half as long as the prompt's longest passage
   is held against the prompt instead (shorter ones are what was asked for);
-* ``recusa``: an answer without any structure has a refusal phrase of some language in its
-  first 200 characters, or anywhere later in a sentence of its own that isn't quoted or
+* ``recusa``: an answer without any structure has a refusal phrase of some language in one of
+  its first two sentences, or anywhere later in a sentence of its own that isn't quoted or
   taken from the prompt and in which the phrase declines a task in the first person;
 * ``outro_idioma``: the answer's own words (without quoted terms, names, numbers, addresses
   and the known keys) are of another script, or function words of another language
@@ -24,6 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import zstandard
@@ -101,9 +102,9 @@ def own_words(answer: str) -> str:
 
 def refuses(prompt: str | None, answer: str) -> bool:
     """The answer declines the task, in its opening or later in its own words."""
-    if _REFUSAL.search(answer[:200]):
+    if any(_REFUSAL.search(m.group()) for m in islice(_SENTENCE.finditer(answer), 2)):
         return True
-    if len(answer) <= 200 or not _REFUSAL_ANYWHERE.search(answer):
+    if not _REFUSAL_ANYWHERE.search(answer):
         return False
     given = f" {_flat(prompt or '')} "
     own = (m.group() for m in _SENTENCE.finditer(_QUOTED.sub(" ", answer)))

@@ -1,17 +1,21 @@
 """Repetition inside a single document (problem 6).
 
-``statistics`` measures each text once: the share of its characters in passages that
-occurred before in it (``coberto``: phrases of four words or more, sentences, lines, and
-runs of the same few signs or word, apart from letter case, numbering and spacing), and
-plainer figures (repeated phrases, lines and sentences, distinct words, the longest run).
+``measure`` reads each text once and gives plain figures: the share of its phrases of four
+words that occurred before in it, the characters in repeated lines and sentences, the share of
+distinct words, and the longest run of the same few signs or word, all apart from letter
+case, numbering and spacing.
 
-``learn`` grows ordered rules on labelled statistics by sequential covering: each rule adds
+``learn`` grows ordered rules over these figures by sequential covering: each rule adds
 the threshold that gains most, is pruned on held-out rows, and takes the rows it covers
 out; the list ends when a rule no longer pays. ``as_column`` turns the list into one Spark
-conditional. The labelled rows are made from a bounded sample of the corpus's own texts
-(``SAMPLE`` texts, lowest hash first), with repetitions of known share put in.
+conditional, which decides. The labelled rows are made from a bounded sample of the corpus's
+own texts (``SAMPLE`` texts, lowest hash first), with repetitions of known share put in.
 
-Nulls and texts without a character have no statistics and are no case.
+The exact share (``coberto``: characters in passages that occurred before) isn't among the
+figures. It is measured in the same reading, and takes out accepted texts under the limit.
+
+Nulls and texts without a character have no figures and are no case. A corpus without a text
+to learn from (of 80 characters, without much repetition) gets one rule a figure.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 400
 PHRASE = 4
-FEATURES = ["coberto", "frases", "linhas", "sentencas", "distintas", "corrida"]
+FEATURES = ["frases", "linhas", "sentencas", "distintas", "corrida"]
 _TOKEN = re.compile(r"[^\W_]+(?:[.,:/][^\W_]+)*")
 _NUMBERING = re.compile(r"(?m)^[ \t]*(?:[-*•·–]+[ \t]*)?(?:[^\W\d_]+[ \t]+)?\(?\d+[ \t]*[).:ªº-]+[ \t]+|^[ \t]*[-*•·–]+[ \t]+")
 _SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*")
@@ -36,7 +40,7 @@ _SPACE = re.compile(r"[\W_]+")
 
 
 def measure(text: str | None) -> list[float] | None:
-    """The figures named in FEATURES."""
+    """The figures named in FEATURES, and last the exact share."""
     if not text or not text.strip():
         return None
     n = len(text)
@@ -71,8 +75,7 @@ def measure(text: str | None) -> list[float] | None:
             seen.add(g)
     lines = _repeated(low, ((s, e) for s, e in _spans(low)), marks) if "\n" in low else 0
     sentences = _repeated(low, (m.span() for m in _SENTENCE.finditer(low)), marks)
-    solid = sum(marks)
-    return [solid / n, repeated / max(1, len(words) - PHRASE + 1), lines / n, sentences / n, len(set(words)) / max(1, len(words)), runs / n]
+    return [repeated / max(1, len(words) - PHRASE + 1), lines / n, sentences / n, len(set(words)) / max(1, len(words)), runs / n, sum(marks) / n]
 
 
 def _spans(text: str) -> Iterator[tuple[int, int]]:
@@ -113,12 +116,12 @@ def _mark_runs(text: str, start: int, end: int, marks: bytearray) -> int:
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [(i, src, *x) for i, src, t in zip(b["id"], b["src"], b["text"]) if (x := measure(t)) is not None]
-        yield pd.DataFrame(got, columns=["id", "src", *FEATURES])
+        yield pd.DataFrame(got, columns=["id", "src", *FEATURES, "coberto"])
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """The figures of each row of (src, id, text)."""
-    return df.select("id", "src", "text").where("text IS NOT NULL").mapInPandas(_measured, "id long, src string, " + ", ".join(f"{f} double" for f in FEATURES))
+    """The figures and the exact share of each row of (src, id, text)."""
+    return df.select("id", "src", "text").where("text IS NOT NULL").mapInPandas(_measured, "id long, src string, " + ", ".join(f"{f} double" for f in [*FEATURES, "coberto"]))
 
 
 def labelled(texts: list[str], limit: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +130,7 @@ def labelled(texts: list[str], limit: float, seed: int = 7) -> tuple[np.ndarray,
     xs, ys = [], []
     for t in texts:
         base = measure(t)
-        if base is None or len(t) < 80 or base[0] > 0.2:
+        if base is None or len(t) < 80 or base[-1] > 0.2:
             continue
         parts = [p for p in re.split(r"(?<=[.!?…])\s+|\n+", t) if len(p.split()) >= 5]
         xs.append(base)
@@ -146,10 +149,10 @@ def labelled(texts: list[str], limit: float, seed: int = 7) -> tuple[np.ndarray,
             x = measure(body)
             xs.append(x)
             ys.append(int(copies * (len(unit) + len(sep)) / len(body) >= limit))
-    return np.array(xs), np.array(ys)
+    return np.array(xs).reshape(len(xs), -1)[:, : len(FEATURES)], np.array(ys)
 
 
-def learn(x: np.ndarray, y: np.ndarray, max_rules: int = 6, seed: int = 7) -> list[list[tuple[int, bool, float]]]:
+def learn(x: np.ndarray, y: np.ndarray, max_rules: int = 10, seed: int = 7) -> list[list[tuple[int, bool, float]]]:
     """Ordered rules for label 1; a condition is (feature, at_least, threshold)."""
     rng = np.random.default_rng(seed)
     left = np.ones(len(y), dtype=bool)
@@ -212,17 +215,17 @@ def as_column(rules: list[list[tuple[int, bool, float]]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def repetitive(df: DataFrame, limit: float = 0.4, sample: int = SAMPLE, slack: float = 0.05) -> DataFrame:
-    """Figures, the rule that fired and ``repetitivo`` for each row of (src, id, text).
-
-    The list is learned for a limit lower by ``slack``; the exact share follows it.
-    """
+def learned(df: DataFrame, limit: float = 0.4, sample: int = SAMPLE, slack: float = 0.05) -> list[list[tuple[int, bool, float]]]:
+    """The decision list for (src, id, text), learned for a limit lower by ``slack``."""
     # the lowest hashes first, as numbers alone, then the few texts behind them
     hashed = df.where("length(text) >= 80").select(F.xxhash64("text").alias("h"), "text")
     lowest = [r.h for r in hashed.select("h").orderBy("h").limit(sample).collect()]
     picked = hashed.where(F.col("h") <= lowest[-1]).dropDuplicates(["h"]).orderBy("h").collect() if lowest else []
-    rules = learn(*labelled([r.text for r in picked], limit - slack)) if picked else []
-    if not rules:
-        rules = [[(0, True, limit - slack)]]
-    out = statistics(df).withColumn("regra", as_column(rules))
+    x, y = labelled([r.text for r in picked], limit - slack)
+    return (learn(x, y) if len(y) else []) or [[(FEATURES.index(f), True, limit / 2)] for f in ("frases", "linhas", "sentencas", "corrida")]
+
+
+def repetitive(df: DataFrame, limit: float = 0.4, **how) -> DataFrame:
+    """Figures, the exact share, the rule that fired and ``repetitivo`` for each row of (src, id, text)."""
+    out = statistics(df).withColumn("regra", as_column(learned(df, limit, **how)))
     return out.withColumn("repetitivo", (F.col("regra") > 0) & (F.col("coberto") >= limit))

@@ -2,20 +2,26 @@
 
 A stop is a boundary unless something says otherwise. What a word before a full stop is,
 an abbreviation or the end of a sentence, is decided by the document first: a word that
-stands elsewhere in it before a stop and a small letter is an abbreviation there, and a
-capitalised word that stands elsewhere in small letters begins a sentence. Where the
+stands elsewhere in it before a stop and a small letter is an abbreviation there, one that
+stands elsewhere before a stop and a word that the document also writes small ends sentences,
+and a capitalised word that stands elsewhere in small letters begins a sentence. Where the
 document is silent, the corpus decides: ``stop_counts`` counts, over all documents, what
-follows each word's stops, and words with a clear majority become the two fallback lists
-(at least one stop in ``1 / rarest``, so at most ``rarest`` words, whatever the corpus).
+follows each word's stops, and words with a clear majority become the fallback lists. What
+neither knows falls to two short fixed lists.
+
+The lists of at most ``LISTED`` words are sent to every task; in a corpus with more such words
+the most frequent are sent, and the others reach the documents that hold them by a join, so a
+document is split alike whatever the size of the corpus.
 
 Script rules: the Devanagari danda, the Arabic and the full-width marks end sentences
 without a blank; an ellipsis inside unspaced text is a pause; Thai has no stop, so a blank
 between two Thai letters separates statements. Stops inside quotation marks or
-parentheses don't count, unless the closing mark follows at once and the sentence ends
-there. A line break is a boundary unless the next line goes on in lower case; a blank
-line always is.
+parentheses, however long, don't count, unless the closing mark follows at once and the
+sentence ends there; an opening mark without a closing one in its line opens nothing. A line
+break is a boundary unless the next line goes on in lower case; a blank line always is.
 
-Null and blank texts have no units. Places count code points.
+Null and blank texts have no units. Places count code points. A run of more than ``LONGEST``
+signs without a blank is no word.
 """
 
 from __future__ import annotations
@@ -29,27 +35,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velatura.session import stage
+
 # Titles and street kinds; a name follows, never a new sentence
 TITLES = set("dr dra drs sr sra srta prof profa profs enf téc tec mr mrs ms st sto sta d.ª hosp av trav rod al lad pça r eng adv des exmo exma ilmo gen cel mod c mme mlle hr fr herr д د डॉ".split())
 # Other abbreviations
 SHORTENED = set("aprox approx apr ex ej p pág págs pp art arts fig figs tab cf vs v i.e e.g etc n nº nos no num máx mín max min temp méd med seg resp esq dir prescr diag fl fls lâm lâms obs ref vol cap cx tel ramal cont r.n b.i.d t.i.d q.d kcal/d x/d d sept jan fev feb mar abr apr mai jun jul ago aug set sep out oct nov dez dec séc hab av i.v v.o s.c".split())
 
 _STOP = re.compile(r"[.!?…。！？।॥؟۔｡．]+|[\r\n  \x85\x0b\x0c]+")
-_SPANS = re.compile(r"\"[^\"\n]{1,600}\"|“[^”\n]{1,600}”|«[^»\n]{1,600}»|‘[^’\n]{1,600}’|(?<![^\s(])'[^'\n]{2,600}'(?![^\W_])|\([^()\n]{1,600}\)|（[^）\n]{1,600}）|「[^」\n]{1,600}」|『[^』\n]{1,600}』")
+# an opening mark isn't read over, so each text is scanned once
+_SPANS = re.compile(r"\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|‘[^‘’\n]+’|(?<![^\s(])'[^'\n]{2,}'(?![^\W_])|\([^()\n]+\)|（[^（）\n]+）|「[^「」\n]+」|『[^『』\n]+』")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|＠|\[arroba\]|\(at\)|\barroba\b) ?(?:[a-z0-9-]+(?:\.[a-z0-9-]+)*|[A-Z0-9-]+(?:\.[A-Z0-9-]+)*)|(?:https?://|www\.)[!-~]+(?<![.,;])")
+_BLANK = " \t\u00a0"
 _CLOSE = "\"'”’»)）」』]》*_"
 _BULLET = re.compile(r"[ \t ]*(?:[-*•·–—▪◦‣]+[ \t ]|\(?\d{1,3}[.)][ \t ]|\(?[a-zA-Z]\)[ \t ])")
-_BEFORE = re.compile(r"[^\s(\[“\"«]*\Z")
+_DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[  ]+(?=[฀-๿])")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿＀-￯฀-๿]")
 
+#: Words of the fallback lists that are sent to every task, at most.
+LISTED = 50_000
+#: Signs of a word before a stop, at most.
+LONGEST = 64
+
 
 class Known:
     """The corpus's fallback lists."""
 
-    def __init__(self, short: set[str] = frozenset(), final: set[str] = frozenset()):
-        self.short, self.final = short, final
+    def __init__(self, short: set[str] = frozenset(), final: set[str] = frozenset(), ends: set[str] = frozenset()):
+        self.short, self.final, self.ends = short, final, ends
+
+    def plus(self, words: list[tuple[str, int]]) -> Known:
+        """With a document's rarer words: (word, kinds), kinds being 1 short + 2 final + 4 ends."""
+        return Known(*(have | {w for w, k in words if k & bit} for have, bit in ((self.short, 1), (self.final, 2), (self.ends, 4))))
 
 
 def _masked(text: str) -> list[tuple[int, int]]:
@@ -62,37 +81,55 @@ def _covers(spans: list[tuple[int, int]], s: int) -> tuple[int, int] | None:
     return spans[k] if k >= 0 and s < spans[k][1] else None
 
 
-def _stops(text: str):
-    """(start, end, marks, word before, next character's place) of the full stops outside of marks."""
-    n = len(text)
+def _stops(text: str) -> list[tuple[int, int, str, int, str]]:
+    """(start, end, marks, next character's place, word before a full stop) of the stops and line breaks."""
+    n, out = len(text), []
     for m in _STOP.finditer(text):
         s, e = m.span()
         nxt = e
-        while nxt < n and text[nxt] in " \t ":
+        while nxt < n and text[nxt] in _BLANK:
             nxt += 1
-        yield s, e, m.group(), nxt
+        out.append((s, e, m.group(), nxt, _word_before(text, s) if text[s] == "." else ""))
+    return out
 
 
 def _word_before(text: str, s: int) -> str:
-    return _BEFORE.search(text, max(0, s - 40), s).group().casefold()
+    if s == 0 or text[s - 1].isspace():
+        return ""
+    part = text[max(0, s - LONGEST) : s].split()[-1]
+    whole = len(part) < LONGEST or s == LONGEST
+    for c in "([“\"«":
+        if c in part:
+            part, whole = part[part.rindex(c) + 1 :], True
+    return part.casefold() if whole else ""
+
+
+def _marks(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(quotations and parentheses, addresses) of a text."""
+    return [m.span() for m in _SPANS.finditer(text)], _masked(text)
 
 
-def stop_counts(text: str | None) -> Counter:
-    """(word, "a" or "b"): stops followed by a small letter or digit, and by a capital, in one text."""
+def stop_counts(text: str | None, stops=None, spans=None, addresses=None, lower: set[str] | None = None) -> Counter:
+    """(word, kind) of one text's stops by what follows: "a" a small letter or digit, "b" a capital,
+    "u" (besides "b") a capitalised word that the text also writes small."""
     found: Counter = Counter()
     if not text or "." not in text:
         return found
-    quoted, addresses = [m.span() for m in _SPANS.finditer(text)], _masked(text)
-    for s, e, marks, nxt in _stops(text):
-        if marks != "." or nxt == e or nxt >= len(text) or _covers(quoted, s) or _covers(addresses, s):
+    if stops is None:
+        stops, lower = _stops(text), set(_WORD.findall(text))
+        spans, addresses = _marks(text)
+    for s, e, marks, nxt, w in stops:
+        if marks != "." or nxt == e or nxt >= len(text) or _covers(spans, s) or _covers(addresses, s):
             continue
-        w = _word_before(text, s)
-        if 0 < len(w) <= 12 and not w[-1].isdigit():
+        if w and not w[-1].isdigit():
             c = text[nxt]
             if c.islower() or c.isdigit() or c in ",;":
                 found[w, "a"] += 1
             elif c.isupper() and not text[nxt : nxt + 4].isupper():
                 found[w, "b"] += 1
+                m = _WORD.match(text, nxt)
+                if m and m.group().lower() in lower:
+                    found[w, "u"] += 1
     return found
 
 
@@ -101,15 +138,15 @@ def units(text: str | None, known: Known = Known()) -> list[tuple[int, int]]:
     if not text or not text.strip():
         return []
     n = len(text)
-    spans = [m.span() for m in _SPANS.finditer(text)]
-    addresses = _masked(text)
-    here = stop_counts(text)
+    spans, addresses = _marks(text)
     lower = set(_WORD.findall(text))
+    stops = _stops(text)
+    here = stop_counts(text, stops, spans, addresses, lower)
     small = _small_style(text, spans, addresses, here, known)
     cuts: list[int] = []
     k = 0
-    for s, e, marks, nxt in _stops(text):
-        if marks[0] in "\r\n  \x85\x0b\x0c":
+    for s, e, marks, nxt, w in stops:
+        if marks[0] in "\r\n\u2028\u2029\x85\x0b\x0c":
             if _line_ends(text, s, e, marks):
                 cuts.append(e)
             continue
@@ -124,16 +161,16 @@ def units(text: str | None, known: Known = Known()) -> list[tuple[int, int]]:
                 continue
             close = spans[k][1]
             nxt = close
-            while nxt < n and text[nxt] in " \t ":
+            while nxt < n and text[nxt] in _BLANK:
                 nxt += 1
         else:
             while close < n and text[close] in _CLOSE and not (close + 1 < n and text[close + 1].isalnum()):
                 close += 1
             if close > e:
                 nxt = close
-                while nxt < n and text[nxt] in " \t ":
+                while nxt < n and text[nxt] in _BLANK:
                     nxt += 1
-        if _is_end(text, s, e, marks, close, nxt, here, lower, known, small):
+        if _is_end(text, s, e, marks, w, close, nxt, here, lower, known, small):
             cuts.append(close)
     if _UNSPACED.search(text):
         cuts = sorted(set(cuts) | {m.end() for m in _THAI_GAP.finditer(text) if not _covers(spans, m.start())})
@@ -182,7 +219,7 @@ def _ends_in_quote(text: str, span: tuple[int, int], marks: str, s: int) -> bool
     return True
 
 
-def _is_end(text, s, e, marks, close, nxt, here, lower, known, small) -> bool:
+def _is_end(text, s, e, marks, w, close, nxt, here, lower, known, small) -> bool:
     n = len(text)
     if nxt >= n or text[nxt] in "\r\n  ":
         if marks == "." and nxt < n:
@@ -190,7 +227,7 @@ def _is_end(text, s, e, marks, close, nxt, here, lower, known, small) -> bool:
             while rest < n and text[rest].isspace():
                 rest += 1
             if rest < n and text[rest].islower() and "\n\n" not in text[nxt:rest]:
-                return not _short(_word_before(text, s), here, known)
+                return not _short(w, here, known)
         return True
     c = text[nxt]
     pause = "…" in marks or (len(marks) > 1 and set(marks) == {"."})
@@ -205,7 +242,6 @@ def _is_end(text, s, e, marks, close, nxt, here, lower, known, small) -> bool:
         if c.islower():
             return small and nxt > close
         return nxt > close or not c.isdigit() and c not in "/"
-    w = _word_before(text, s)
     if not w:
         return False
     line = max(text.rfind("\n", 0, s), text.rfind("\r", 0, s)) + 1
@@ -224,7 +260,7 @@ def _is_end(text, s, e, marks, close, nxt, here, lower, known, small) -> bool:
         return c in "\"“«¿¡•" and b_lower(text, s)
     if c.islower():
         if small:
-            return len(w) > 1 and w not in SHORTENED and w not in TITLES and w not in known.short and not re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w)
+            return len(w) > 1 and w not in SHORTENED and w not in TITLES and w not in known.short and not _DOTTED.fullmatch(w)
         return w in known.final and len(w) > 2 and not here.get((w, "a"))
     if re.match(r"[ऀ-ॿ]", text[s - 1]):
         return False  # the Devanagari full stop is the danda
@@ -273,12 +309,17 @@ def _name_before(text: str, s: int) -> bool:
 
 
 def _short(w: str, here: Counter, known: Known) -> bool:
-    if w in SHORTENED or w in TITLES:
+    """Whether the word is an abbreviation: the document's evidence, then the corpus's, then the lists."""
+    if "." in w and _DOTTED.fullmatch(w):
         return True
-    a, b = here.get((w, "a"), 0), here.get((w, "b"), 0)
-    if a and not b and len(w) <= 6 and w not in known.final:
+    a, b, u = here.get((w, "a"), 0), here.get((w, "b"), 0), here.get((w, "u"), 0)
+    if a and not b and w not in known.final:
         return True
-    return w in known.short or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w) is not None
+    if u > 1 and u == b and not a:  # every capital after it begins a word that is written small elsewhere
+        return False
+    if w in known.short:
+        return True
+    return w not in known.ends and (w in SHORTENED or w in TITLES)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,26 +334,71 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(total: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(w, n if k == "a" else 0, n if k == "b" else 0) for (w, k), n in total.items()], columns=["w", "a", "b"])
+    return pd.DataFrame([(w, *(n if k == x else 0 for x in "abu")) for (w, k), n in total.items()], columns=["w", "a", "b", "u"])
+
+
+def corpus_words(df: DataFrame, text_col: str, least: int = 5, share: float = 0.75) -> DataFrame:
+    """(w, n, kinds) of the words with at least ``least`` stops and a clear majority, as a stage table.
 
+    kinds: 1 an abbreviation, 2 the end of a sentence, 4 the end of a sentence by unambiguous cases.
+    """
+    counts = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInPandas(_counted, "w string, a long, b long, u long").groupBy("w").agg(*[F.sum(c).alias(c) for c in "abu"])
+    n = F.col("a") + F.col("b")
+    bit = lambda c, v: F.when(c, v).otherwise(0)
+    ends = (F.col("u") >= least) & (F.col("u") >= share * (F.col("a") + F.col("u"))) & (F.col("u") >= 0.3 * F.col("b"))
+    kinds = bit(F.col("a") >= share * n, 1) + bit(F.col("b") >= share * n, 2) + bit(ends, 4)
+    return stage(counts.where(n >= least).select("w", n.alias("n"), kinds.alias("kinds")).where("kinds > 0"), "sentence-words")
 
-def corpus_words(df: DataFrame, text_col: str, rarest: int = 50_000, share: float = 0.75) -> Known:
-    """The fallback lists, from all texts: at most ``rarest`` words."""
-    counts = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInPandas(_counted, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    total = counts.agg(F.sum(F.col("a") + F.col("b"))).first()[0] or 0
-    least = max(5, total // rarest)
-    rows = counts.where((F.col("a") + F.col("b")) >= least).collect()
-    return Known({r.w for r in rows if r.a >= share * (r.a + r.b)}, {r.w for r in rows if r.b >= share * (r.a + r.b)})
+
+def _listed(words: DataFrame, listed: int) -> tuple[Known, DataFrame | None]:
+    """(the most frequent words, at most ``listed``; the table of the others or None)."""
+    step = F.floor(F.log2("n") * 16).cast("int")  # at most 16 * 64 steps, whatever the corpus
+    total, cut, left = 0, 1 << 30, 0
+    for r in sorted(words.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.s):
+        if left or total + r.k > listed:
+            left += r.k
+        else:
+            total, cut = total + r.k, r.s
+    rows = [(r.w, r.kinds) for r in words.where(step >= cut).toLocalIterator()]
+    return Known(set(), set(), set()).plus(rows), words.where(step < cut) if left else None
+
+
+def _asked(text: str | None) -> set[str]:
+    """The words whose kinds decide something in a text: those before stops and those after."""
+    if not text or "." not in text:
+        return set()
+    out = set()
+    for _, _, marks, nxt, w in _stops(text):
+        if marks == ".":
+            out.add(w)
+            m = _WORD.match(text, nxt)
+            if m:
+                out.add(m.group().lower())
+    return out - {""}
+
+
+def _asked_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(k, w) for k, t in zip(b["key"], b["text"]) for w in _asked(t)]
+        yield pd.DataFrame(rows, columns=["key", "w"])
 
 
-def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
+def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool = False, listed: int = LISTED) -> DataFrame:
     """(id, ordem, inicio, fim[, texto]): the units of every text, in order."""
-    known = df.sparkSession.sparkContext.broadcast(corpus_words(df, text_col))
+    known, rest = _listed(corpus_words(df, text_col), listed)
+    held = df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, k, s, e, *((t[s:e],) if with_text else ())) for i, t in zip(b["id"], b["text"]) for k, (s, e) in enumerate(units(t, known.value))]
+            own = b["own"] if "own" in b else [None] * len(b)
+            each = (held.value if o is None else held.value.plus([(x["w"], x["kinds"]) for x in o]) for o in own)
+            rows = [(i, k, s, e, *((t[s:e],) if with_text else ())) for i, t, words in zip(b["id"], b["text"], each) for k, (s, e) in enumerate(units(t, words))]
             yield pd.DataFrame(rows, columns=["id", "ordem", "inicio", "fim"] + ["texto"] * with_text)
 
-    schema = "id long, ordem int, inicio int, fim int" + ", texto string" * with_text
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    if rest is not None:
+        rows = stage(rows.withColumn("key", F.monotonically_increasing_id()), "sentence-texts")
+        asked = rows.select("key", "text").mapInPandas(_asked_rows, "key long, w string").join(rest, "w")
+        rows = rows.join(asked.groupBy("key").agg(F.collect_list(F.struct("w", "kinds")).alias("own")), "key", "left").drop("key")
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, ordem int, inicio int, fim int" + ", texto string" * with_text
+    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
