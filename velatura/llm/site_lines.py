@@ -29,6 +29,7 @@ from math import exp, inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from velatura.session import stage
 
@@ -59,15 +60,14 @@ def excess_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, min
     lines = _lines(df, id_col, text_col, source_col)
     totals = lines.groupBy("src").agg(F.count("*").alias("total"))
     keys = lines.select("src", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key")).where("key IS NOT NULL")
-    counts = stage(keys.groupBy("src", "key").agg(F.count("*").alias("k")), "line-counts")
-    everywhere = counts.groupBy("key").agg(F.sum("k").alias("k_all"))
-    # one row: the number of records, of lines in records, and of different lines
-    n_all, k_sum, n_keys = (
-        totals.agg(F.sum("total")).first()[0] or 0,
-        counts.agg(F.sum("k")).first()[0] or 0,
-        everywhere.count(),
-    )
-    tests = counts.join(totals, "src").join(everywhere, "key")
+    counts = keys.groupBy("src", "key").agg(F.count("*").alias("k"))
+    # at most one row a source in each partition of the window
+    alike = Window.partitionBy("key")
+    counts = stage(counts.select("src", "key", "k", F.sum("k").over(alike).alias("k_all"), F.count("*").over(alike).alias("in_sources")), "line-counts")
+    # the number of records, of lines in records, and of different lines
+    n_all = totals.agg(F.sum("total")).first()[0] or 0
+    k_sum, n_keys = (x or 0 for x in counts.agg(F.sum("k"), F.round(F.sum(1 / F.col("in_sources")))).first())
+    tests = counts.join(totals, "src")
     a, n = F.col("k").cast("double"), F.col("total").cast("double")
     b, m = (F.col("k_all") - F.col("k")).cast("double"), (F.lit(float(n_all)) - F.col("total"))
     # the mean of the other lines; a source that is (nearly) alone meets an outside of its own size
@@ -90,26 +90,32 @@ def excess_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, min
     return tests.where((F.col("g") >= least) & (F.col("k") >= min_records) & (F.col("k") >= min_share * F.col("total") - 1e-9))
 
 
-def _places(df: DataFrame, id_col: str, text_col: str, source_col: str, broadcast_lines: int, how: dict) -> DataFrame:
-    """(doc, lines, at): each record's lines and the places of its excess lines."""
+def _places(df: DataFrame, id_col: str, text_col: str, source_col: str, broadcast_lines: int, how: dict, texts: bool = True) -> DataFrame:
+    """(doc, lines, at): each record's lines and the places of its excess lines; without ``texts`` (doc, linha)."""
     found = stage(excess_lines(df, id_col, text_col, source_col, **how).select("src", "key"), "excess-lines")
     rows = _lines(df, id_col, text_col, source_col)
     none = F.array().cast("array<int>")
+    one = lambda rows, *cols: rows.select(*cols, "src", F.posexplode("lines").alias("linha", "line")).select(*cols, "src", "linha", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
+    if found.count() <= broadcast_lines and not texts:
+        return one(rows, "doc").join(F.broadcast(found), ["src", "key"], "left_semi")
     if found.count() <= broadcast_lines:
         keys = F.broadcast(found.groupBy("src").agg(F.collect_list("key").alias("keys")))
         at = F.filter(F.transform("lines", lambda x, i: F.when(F.array_contains("keys", line_key(x)), i)), lambda i: i.isNotNull())
         return rows.join(keys, "src", "left").select("doc", "lines", F.coalesce(F.when(F.col("keys").isNotNull(), at), none).alias("at"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "line-records")
-    lines = rows.select("row", "src", F.posexplode(F.transform("lines", line_key)).alias("linha", "key")).where("key IS NOT NULL")
+    lines = one(rows, "row", *[] if texts else ["doc"])
     copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     hits = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(copies, ["src", "key", "salt"], "left_semi")
+    if not texts:
+        return hits
     per = hits.groupBy("row").agg(F.array_sort(F.collect_list("linha")).alias("at"))
     return rows.join(per, "row", "left").select("doc", "lines", F.coalesce("at", none).alias("at"))
 
 
 def excess_places(df: DataFrame, id_col: str, text_col: str, source_col: str, broadcast_lines: int = BROADCAST_LINES, **how) -> DataFrame:
     """(id, linha): every occurrence of an excess line."""
-    return _places(df, id_col, text_col, source_col, broadcast_lines, how).select(F.col("doc").alias(id_col), F.explode("at").alias("linha"))
+    places = _places(df, id_col, text_col, source_col, broadcast_lines, how, texts=False)
+    return places.select(F.col("doc").alias(id_col), "linha")
 
 
 def without_excess(df: DataFrame, id_col: str, text_col: str, source_col: str, broadcast_lines: int = BROADCAST_LINES, **how) -> DataFrame:
