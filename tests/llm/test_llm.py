@@ -338,10 +338,25 @@ KNOWN = personal.Gazetteer({"ana", "rosa", "luzia", "clara", "severino"}, {"vida
     ],
 )
 def test_candidates(text, want):
-    got = [(k, text[s:e]) for k, s, e, _ in personal.candidates(text, KNOWN)]
+    """The spans that the first beliefs alone accept, before anything is learned."""
+    def held(k, votes):
+        return sum(v * np.log(r / (1 - r)) for v, r in zip(votes, personal.LABELERS[k].values(), strict=True)) > 0
+
+    got = [(k, text[s:e]) for k, s, e, votes, _ in personal.candidates(text, KNOWN) if held(k, votes)]
     assert sorted(got) == sorted(want)
 
 
+def test_lists_vote_and_drop_nothing():
+    """What the lists speak against is still a candidate."""
+    got = {(k, t[s:e]) for t in ("Nota fiscal 55087447975 anexada.", "Visitou o estande do Outubro Rosa.", "Evolução registrada por Enf. Ana.", "Perfil @saude_bairro na Av. central.") for k, s, e, *_ in personal.candidates(t, KNOWN)}
+    assert {("PHONE", "55087447975"), ("NAME", "Rosa"), ("NAME", "Enf"), ("NAME", "Ana"), ("EMAIL", "@saude_bairro"), ("ADDRESS", "Av. central")} <= got
+
+
+def test_many_spans_in_one_text():
+    text = "Paciente Ana Vidando, fone (36) 91480-9640, CPF 211.739.699-63. " * 4_000
+    assert len(personal.candidates(text, KNOWN)) == 12_000
+
+
 def test_negative_votes_win_and_redaction(spark):
     known = spark.createDataFrame([("nome", "Ana Lima"), ("nome", "Rosa Fisares"), ("endereco", "Vila Trombeta"), ("nome", None)], "tipo string, texto_original string")
     rows = [("t", i, f"Visitou o estande do Outubro Rosa. Paciente Ana Lima, CPF 211.739.699-{i:02d}, contato (36) 91480-96{i:02d}.") for i in range(40)] + [("t", 99, None), ("t", 98, "")]
@@ -355,9 +370,28 @@ def test_negative_votes_win_and_redaction(spark):
 
 def test_reliabilities_learn_from_agreement():
     counts = {(1, 1, 0, 0, 0, 0): 900.0, (1, -1, 0, 0, 0, 0): 5.0, (0, -1, 0, 0, 0, -1): 400.0, (0, 1, 0, 0, 0, 0): 50.0}
-    p = personal.reliabilities(counts)
-    q = personal.classifier(counts, p)
-    assert p[1, 1, 0, 0, 0, 0] > 0.9 > 0.2 > p[0, -1, 0, 0, 0, -1] and max(abs(p[k] - q[k]) for k in counts) < 0.25
+    p, right = personal.reliabilities(counts, [0.95, 0.9, 0.85, 0.8, 0.85, 0.98])
+    q = personal.classifier({(v, ""): n for v, n in counts.items()}, p)
+    assert p[1, 1, 0, 0, 0, 0] > 0.9 > 0.2 > p[0, -1, 0, 0, 0, -1] and max(abs(p[k] - q[k, ""]) for k in counts) < 0.25
+    assert right[0] > 0.9 and right[1] > 0.9
+
+
+def test_a_labeler_that_is_mostly_wrong_is_found_out():
+    """Five labelers right in nine of ten spans, one in one of ten, all believed alike at first."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(20_000) < 0.5
+    hit = rng.random((20_000, 6)) < np.array([0.9] * 5 + [0.1])
+    votes = np.where(hit == truth[:, None], 1, -1)
+    counts: dict = {}
+    for v in map(tuple, votes.tolist()):
+        counts[v] = counts.get(v, 0.0) + 1
+    counts[0, 0, 0, 0, 0, 1] = 1.0
+    post, right = personal.reliabilities(counts, [0.85] * 6)
+    assert all(abs(r - 0.9) < 0.02 for r in right[:5]) and abs(right[5] - 0.1) < 0.02
+    assert post[0, 0, 0, 0, 0, 1] < 0.2
+    assert np.mean([(post[v] >= 0.5) == t for v, t in zip(map(tuple, votes.tolist()), truth)]) > 0.98
+    few, _ = personal.reliabilities({v: n / 10_000 for v, n in counts.items()}, [0.85] * 6)
+    assert few[0, 0, 0, 0, 0, 1] > 0.5  # with hardly a row, the beliefs stand
 
 
 # --- 6: repetition ---
@@ -541,7 +575,7 @@ def test_rare_words_reach_their_documents(spark):
     rows = [(i, " ".join(rng.choice(["usar xpto. de novo.", "Usar xpto. Ana foi.", "vide qrs. 5 dias.", "Casa bela. Rua nova.", "casa e rua."]) for _ in range(12))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id string, text string")
     words = sentences.corpus_words(df, "text")
-    assert words.count() >= 3 and sentences._listed(words, 0)[1] is not None
+    assert words.count() >= 2 and sentences._listed(words, 0)[1] is not None
     get = lambda n: sorted(map(tuple, sentences.sentence_units(df, "doc_id", "text", listed=n).collect()))
     assert get(0) == get(50_000)
 

@@ -135,6 +135,11 @@ def p5_textos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redact(_notes(spark, sf_dir), table(spark, sf_dir, "p02_conhecimento")).select(F.col("src").alias("tabela"), F.col("id").alias("row_id"), "texto")
 
 
+def p5_rotuladores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated reliability of every labeler."""
+    return personal.reliability(_notes(spark, sf_dir), table(spark, sf_dir, "p02_conhecimento"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reasoning(spark, sf_dir).where("repetitivo").select(F.col("src").alias("tabela"), "id")
 
@@ -190,7 +195,7 @@ def p10_unidades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_digestos, p2_percentis, p2_por_dia, p2_postos, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p4_proprias, p5_found, p5_textos, p6_found, p6_parcelas, p7_found, p8_ids, p8_textos, p9_mistura, p9_parcelas, p9_parcelas_corpus, p10_found, p10_unidades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_digestos, p2_percentis, p2_por_dia, p2_postos, p2_contagens, p3_found, p3_taxas, p4_found, p4_textos, p4_proprias, p5_found, p5_textos, p5_rotuladores, p6_found, p6_parcelas, p7_found, p8_ids, p8_textos, p9_mistura, p9_parcelas, p9_parcelas_corpus, p10_found, p10_unidades)}
 _LINES = r"""
 WITH r AS (SELECT rec_idx, unidade, descricao FROM prontuarios),
 tot AS (SELECT unidade, count(*) AS total FROM r GROUP BY unidade),

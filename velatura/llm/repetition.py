@@ -149,7 +149,7 @@ def labelled(texts: list[str], limit: float, seed: int = 7) -> tuple[np.ndarray,
             x = measure(body)
             xs.append(x)
             ys.append(int(copies * (len(unit) + len(sep)) / len(body) >= limit))
-    return np.array(xs).reshape(len(xs), -1)[:, : len(FEATURES)], np.array(ys)
+    return np.array(xs, dtype=float).reshape(len(xs), len(FEATURES) + 1)[:, : len(FEATURES)], np.array(ys)
 
 
 def learn(x: np.ndarray, y: np.ndarray, max_rules: int = 10, seed: int = 7) -> list[list[tuple[int, bool, float]]]:
