@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velatura.operators import scoring
-from velatura.operators.spans import PII_KINDS, _order_key, _SPAN, dictionary_spans, pattern_spans, render_mask, resolve_by_rank, span
+from velatura.operators.spans import dictionary_spans, masked, pattern_terms, span, term_end, term_rank
 from velatura.session import stage
 
 
@@ -61,28 +61,44 @@ def combo_terms(combos: DataFrame, knowledge: DataFrame, mode: str) -> DataFrame
     return out.drop("n")
 
 
-def score_level(combos: DataFrame, records: DataFrame, knowledge: DataFrame, mode: str, chars: tuple[str, str] = ("*", "#")) -> DataFrame:
+_COUNTS = ["tp", "tp_unknown", "fn", "fp"]
+
+
+def _counted(rows: DataFrame, key: list[str], chars: tuple[str, str]) -> DataFrame:
+    """(key..., tp, tp_unknown, fn, fp) of masked rows, by record."""
+    rows = rows.withColumn("chave", F.struct(*key))
+    found = scoring.verdicts(rows, "chave", "labels", "mascara", chars).groupBy("chave").agg(*[F.count_if(F.col("veredito") == v).alias(v) for v in _COUNTS[:3]])
+    wrong = scoring.residual_runs(rows, "chave", "texto", "labels", "mascara", chars).groupBy("chave").agg(F.count("*").alias("fp"))
+    return found.join(wrong, "chave", "full_outer").na.fill(0, _COUNTS).select("chave.*", *_COUNTS)
+
+
+def base_scores(records: DataFrame, chars: tuple[str, str] = ("*", "#")) -> tuple[DataFrame, DataFrame]:
+    """(records with their pattern matches, counts of each record's mask without any term)."""
+    rows = stage(records.select("rec_idx", "texto", "labels", pattern_terms(F.col("texto")).alias("padroes")).where("texto IS NOT NULL"), "lattice-records")
+    none = F.array().cast("array<struct<ini:int,fim:int,posto:string,alvo:string>>")
+    return rows, stage(_counted(rows.withColumn("mascara", masked(F.col("texto"), none, F.col("padroes"), chars[0])), ["rec_idx"], chars), "lattice-base")
+
+
+def score_level(combos: DataFrame, base: tuple[DataFrame, DataFrame], knowledge: DataFrame, mode: str, chars: tuple[str, str] = ("*", "#")) -> DataFrame:
     """(combo, counts, precision, recall, f1, f2) of all combinations of a level in one job.
 
-    ``records`` has rec_idx, texto and labels. A term's spans in a record are found once,
-    whatever the number of combinations that hold it.
+    ``base`` is what ``base_scores`` gives. A term's spans in a record are found once, whatever the number
+    of combinations that hold it, and only the records in which a combination has a term are
+    masked for it: the others count as they do without any term.
     """
+    rows, alone = base
     terms = stage(combo_terms(combos, knowledge, mode), "combo-terms")
-    spans = dictionary_spans(records, terms.select("termo").distinct())
-    per_term = spans.join(terms, "termo")
-    size, age = F.length("termo"), F.regexp_extract("termo", r"(?i)^(\d+)\s+anos", 1)
-    rank = F.when(F.col("tipo").isin(*PII_KINDS), _order_key("1", size, F.col("termo"))).when(F.col("tipo") == "info", _order_key("2", size, F.lpad(F.col("id").cast("string"), 9, "0"))).otherwise(_order_key("4", size, F.col("termo")))
-    end = F.when((F.col("tipo") == "info") & (age != ""), F.col("ini") + F.length(age)).otherwise(F.col("fim"))
-    grouped = per_term.groupBy("combo", "rec_idx").agg(F.collect_list(span(F.col("ini"), end, rank, F.when(F.col("tipo") == "unknown", F.lit(chars[1])).otherwise(F.lit(chars[0])))).alias("spans"))
-    base = records.withColumn("_p", F.coalesce(pattern_spans(F.col("texto"), chars[0]), F.array().cast(f"array<{_SPAN}>")))
-    every = combos.select("combo", F.explode(F.array(F.lit(1))).alias("_1")).join(base.withColumn("_1", F.lit(1)), "_1").drop("_1")
-    rows = every.join(grouped, ["combo", "rec_idx"], "left")
-    rows = rows.withColumn("mascara", render_mask(F.col("texto"), resolve_by_rank(F.concat(F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")), F.col("_p")))))
-    rows = stage(rows.select(F.struct("combo", "rec_idx").alias("chave"), "texto", "labels", "mascara"), "combo-masks")
-    found = scoring.verdicts(rows, "chave", "labels", "mascara", chars).groupBy("chave.combo").agg(F.count_if(F.col("veredito") == "tp").alias("tp"), F.count_if(F.col("veredito") == "tp_unknown").alias("tp_unknown"), F.count_if(F.col("veredito") == "fn").alias("fn"))
-    wrong = scoring.residual_runs(rows, "chave", "texto", "labels", "mascara", chars).groupBy("chave.combo").agg(F.count("*").alias("fp"))
-    out = combos.select("combo").join(found, "combo", "left").join(wrong, "combo", "left").na.fill(0, ["tp", "tp_unknown", "fn", "fp"])
-    return scoring.with_scores(out)
+    spans = dictionary_spans(rows, terms.select("termo").distinct())
+    kind, term = F.col("tipo"), F.col("termo")
+    one = span(F.col("ini"), term_end(kind, term, F.col("ini"), F.col("fim")), term_rank(kind, term, F.col("id")), F.when(kind == "unknown", F.lit(chars[1])).otherwise(F.lit(chars[0])))
+    pairs = spans.join(terms, "termo").groupBy("combo", "rec_idx").agg(F.collect_list(one).alias("spans"))
+    both = pairs.join(rows, "rec_idx").select("combo", "rec_idx", "texto", "labels", masked(F.col("texto"), F.col("spans"), F.col("padroes"), chars[0]).alias("mascara"))
+    both = stage(both, "combo-masks")
+    mine = _counted(both, ["combo", "rec_idx"], chars).groupBy("combo").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    instead = both.select("combo", "rec_idx").join(alone, "rec_idx").groupBy("combo").agg(*[F.sum(c).alias(f"b_{c}") for c in _COUNTS])
+    whole = alone.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS]).first()  # one row
+    out = combos.select("combo").join(mine, "combo", "left").join(instead, "combo", "left").na.fill(0)
+    return scoring.with_scores(out.select("combo", *[(F.lit(whole[c]) - F.col(f"b_{c}") + F.col(c)).alias(c) for c in _COUNTS]))
 
 
 def search(records: DataFrame, knowledge: DataFrame, sessions: list[int], mode: str = "uniao", depth: int | None = None, history: DataFrame | None = None) -> DataFrame:
@@ -92,13 +108,14 @@ def search(records: DataFrame, knowledge: DataFrame, sessions: list[int], mode:
     """
     spark = records.sparkSession
     done = history if history is not None else spark.createDataFrame([], "combo array<int>, f2 double, podado boolean")
+    base = base_scores(records)
     combos = subsets(spark, sessions, [1]).select("combo").withColumn("melhor_pai", F.lit(None).cast("double"))
     for k in range(1, (depth or len(set(sessions))) + 1):
         if k > 1:
             combos = stage(next_level(done, k), "combos")
         fresh = combos.join(done.select("combo"), "combo", "left_anti")
         if not fresh.isEmpty():
-            scored = score_level(fresh, records, knowledge, mode).select("combo", "f2").join(fresh, "combo")
+            scored = score_level(fresh, base, knowledge, mode).select("combo", "f2").join(fresh, "combo")
             done = stage(done.unionByName(decide(scored).select("combo", "f2", "podado")), "lattice")
         elif combos.isEmpty():
             break

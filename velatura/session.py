@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -46,16 +47,36 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for stage tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a temporary folder is made, once per
-    application; a cluster must name a folder that all its executors share.
+    Only where it is unset and the master is this machine (tests, a laptop) a temporary
+    folder is made, once per application. On a cluster an unset folder is an error: each
+    executor would write to a disk of its own.
     """
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not base and not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+            raise ValueError(f"spark.checkpoint.dir isn't set; on {master} it must name a folder that all executors share")
         _OWN_DIR[app] = f"{base or 'file://' + tempfile.mkdtemp(prefix='velatura-')}/velatura-{uuid.uuid4().hex}"
     return _OWN_DIR[app]
 
 
+def path_of(spark: SparkSession, path: str):
+    """(file system, path object) of Hadoop for a path of any scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = path_of(spark, path)
+    return fs.exists(p)
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if it is missing."""
+    fs, p = path_of(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _drop(spark_jvm, path: str) -> None:
     jvm, conf = spark_jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
