@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velatura.functions.patterns import PATTERNS, places
 from velatura.functions.text import quote
 from velatura.operators import knowledge as K
+from velatura.operators.ngrams import phrase_pattern
 from velatura.operators.spans import _SPAN, SCAN_CLASS, dictionary_spans, rebuild, resolve_leftmost, span
 from velatura.session import stage
 
@@ -90,3 +91,33 @@ def replace_terms(text: Column, pairs: Column) -> Column:
     """Replace listed terms, map<term, tag>, literally and longest first."""
     order = F.array_sort(F.transform(F.map_entries(pairs), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"].alias("v"))))
     return F.aggregate(order, text, lambda acc, e: F.replace(acc, e["k"], e["v"]))
+
+
+def mark_term(text: Column, term: str, tag: str, padded: bool = False) -> Column:
+    """Every occurrence of a term, whatever signs stand between its words, becomes a tag; ``padded`` puts blanks around it."""
+    to = f" {tag} " if padded else tag
+    return F.regexp_replace(text, phrase_pattern(term), F.lit(to.replace("\\", r"\\").replace("$", r"\$")))
+
+
+def mark_for_review(records: DataFrame, known: DataFrame, session: int, term: str, ini: str, fim: str, kind: str = "revisao", id_col: str = "rec_idx", text_col: str = "texto") -> tuple[DataFrame, DataFrame]:
+    """(texts, knowledge): a term is registered (for review, or as ``kind``) and tagged wherever it stands.
+
+    A phrase that becomes boilerplate (``kind="boilerplate"``) gets blanks around its tag. A
+    term that is known under a definitive kind keeps that kind's tag.
+    """
+    new = records.sparkSession.createDataFrame([(session, kind, term, 0)], "sessao_id long, tipo string, texto_original string, rec int")
+    known = stage(K.register(known, new, ["rec"]), "known")
+    row = known.where((F.col("sessao_id") == session) & (F.col("texto_original") == term.strip())).select(K.tag(ini, fim, F.col("tipo"), F.col("id_local_sessao")).alias("m"), (F.col("tipo") == kind).alias("own")).orderBy(F.desc("own")).first()
+    return (records.select(id_col, mark_term(F.col(text_col), term, row.m, kind == "boilerplate").alias(text_col)) if row else records.select(id_col, text_col)), known
+
+
+def replace_listed(records: DataFrame, known: DataFrame, session: int, terms: dict[str, list[str]], ini: str, fim: str, id_col: str = "rec_idx", text_col: str = "texto") -> tuple[DataFrame, DataFrame]:
+    """(texts, knowledge): listed terms by kind are registered, then replaced literally, longest first."""
+    rows = [(session, kind, t, i) for i, (kind, t) in enumerate((k, t) for k, ts in terms.items() for t in ts)]
+    known = stage(K.register(known, records.sparkSession.createDataFrame(rows, "sessao_id long, tipo string, texto_original string, rec int"), ["rec"]), "known")
+    mine = known.where((F.col("sessao_id") == session) & F.col("texto_original").isin(*[t.strip() for ts in terms.values() for t in ts]) & F.col("tipo").isin(*K.PRIORITY))
+    pairs = {r.texto_original: r.m for r in mine.select("texto_original", K.tag(ini, fim, F.col("tipo"), F.col("id_local_sessao")).alias("m")).collect()}  # the caller's list
+    if not pairs:
+        return records.select(id_col, text_col), known
+    both = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return records.select(id_col, replace_terms(F.col(text_col), both).alias(text_col)), known

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 
 def first_detector(simulated: DataFrame, logs: DataFrame, results: DataFrame, session: int | None = None) -> DataFrame:
-    """(loop_tipo, total_itens): which detector fired first, for a session or all."""
+    """(loop_tipo, total_itens): which detector fired first, for a session or all; rarest first."""
     s = simulated.where("loop_detectado").select("log_llm_id", "loop_tipo")
     r = results.select(F.col("id").alias("resultado_id"), "sessao_brkga_id")
     if session is not None:
         r = r.where(F.col("sessao_brkga_id") == session)
     rows = s.join(logs.select(F.col("id").alias("log_llm_id"), "resultado_id"), "log_llm_id").join(r, "resultado_id")
-    return rows.groupBy("loop_tipo").agg(F.count("*").alias("total_itens"))
+    return rows.groupBy("loop_tipo").agg(F.count("*").alias("total_itens")).orderBy("total_itens", "loop_tipo")
 
 
 def winner_bucket(compared: DataFrame, logs: DataFrame, session: int | None = None) -> DataFrame:
-    """(detector_mais_preciso, total_itens) of the logs that failed."""
+    """(detector_mais_preciso, total_itens) of the logs that failed, most first."""
     rows = compared if session is None else compared.where(F.col("sessao_brkga_id") == session)
     failed = logs.where("houve_falha").select(F.col("id").alias("log_llm_id"))
-    return rows.join(failed, "log_llm_id").groupBy("detector_mais_preciso").agg(F.count("*").alias("total_itens"))
+    return rows.join(failed, "log_llm_id").groupBy("detector_mais_preciso").agg(F.count("*").alias("total_itens")).orderBy(F.desc("total_itens"), "detector_mais_preciso")
 
 
 def winner_detail(compared: DataFrame, logs: DataFrame, session: int | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def winner_detail(compared: DataFrame, logs: DataFrame, session: int | None = No
     name = lambda c: F.coalesce(F.col(c), F.lit("NULL"))
     won = F.col("detector_mais_preciso")
     label = F.when(won == "artigo", F.col("artigo_tipo")).when(won == "det4", F.col("det4_tipo")).when(won == "empate", F.concat(F.lit("Empate ("), name("artigo_tipo"), F.lit(" + "), name("det4_tipo"), F.lit(")"))).otherwise(won)
-    return rows.join(failed, "log_llm_id").groupBy(label.alias("tecnica_vencedora")).agg(F.count("*").alias("total_itens"))
+    return rows.join(failed, "log_llm_id").groupBy(label.alias("tecnica_vencedora")).agg(F.count("*").alias("total_itens")).orderBy(F.desc("total_itens"), "tecnica_vencedora")
 
 
 def logs_with_parameters(logs: DataFrame, results: DataFrame) -> DataFrame:
@@ -64,3 +64,8 @@ def combination_cache(combos: DataFrame, mode: str, group: str) -> DataFrame:
 def chart_table(df: DataFrame) -> DataFrame:
     """(modo, nivel, n, melhor_f2, menor_precision, menor_recall) for a metrics chart."""
     return df.groupBy("modo", "nivel").agg(F.count("*").alias("n"), F.max("f2").alias("melhor_f2"), F.min("precision").alias("menor_precision"), F.min("recall").alias("menor_recall"))
+
+
+def valid_combinations(combos: DataFrame) -> DataFrame:
+    """Combinations that weren't pruned."""
+    return combos.where(~F.coalesce("podado", F.lit(False)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,11 @@ def subject_key(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, "(1, 'paciente - p001'), (2, ' P002 '), (3, 'X PACIENTE-9'), (4, ''), (5, NULL) AS v(id, s)").select("id", text.subject_key(F.col("s")).alias("chave"))
 
 
+@query(r"SELECT rec_idx, trim(regexp_replace(upper(prontuario), 'PACIENTE\s*-\s*', '', 'g')) AS chave FROM prontuarios")
+def subject_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "prontuarios", "rec_idx", "prontuario").select("rec_idx", text.subject_key(F.col("prontuario")).alias("chave"))
+
+
 _CANDIDATES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(text.MASK_CANDIDATES))
 
 
@@ -145,9 +153,12 @@ def mask_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return spans.masks(records, table(spark, d, TERMS), ("*", "#"))
 
 
-@query("SELECT rec_idx, CAST(length(descricao) AS INTEGER) AS original, CAST(length(descricao) AS INTEGER) AS mascara FROM prontuarios")
-def mask_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return mask_dictionary(spark, d).select("rec_idx", F.length("texto").alias("original"), F.length("mascara").alias("mascara"))
+@query("SELECT rec_idx, length(descricao) AS tamanho, CASE WHEN descricao IS NOT NULL THEN 0 END AS desalinhados FROM prontuarios")
+def mask_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every mask has its text's length and differs from it in mask characters only."""
+    rows = mask_dictionary(spark, d)
+    same = F.length("texto") == F.length("mascara")
+    return rows.select("rec_idx", F.length("mascara").cast("long").alias("tamanho"), F.when(same, text.misaligned(F.col("texto"), F.col("mascara"), "*#")).otherwise(F.lit(None)).alias("desalinhados"))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -158,22 +169,29 @@ def _session(spark: SparkSession, d: str, session: int) -> DataFrame:
     return table(spark, d, TERMS, "sessao_id", "tipo", "texto_original", "id_local_sessao").where(F.col("sessao_id") == session)
 
 
+def _all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of all sessions, under new ids, as those of session 1."""
+    terms = table(spark, d, TERMS)
+    rows = knowledge.union_sessions(terms, _sessions(terms))
+    return rows.select(F.lit(1).cast("long").alias("sessao_id"), "tipo", "texto_original", F.col("id").alias("id_local_sessao"))
+
+
 @query("SELECT rec_idx, true AS igual FROM prontuarios")
 def tag_and_restore(spark: SparkSession, d: str) -> DataFrame:
     rows = stage(_records(spark, d), "records")
-    tagged, known = tags.anonymise(rows, _session(spark, d, 1), 1, "⦃", "⦄")
+    tagged, known = tags.anonymise(rows, _all_terms(spark, d), 1, "⦃", "⦄")
     back = tags.restore(stage(tagged, "tagged"), stage(known, "known"), "⦃", "⦄")
     return back.withColumnRenamed("texto", "volta").join(rows, "rec_idx").select("rec_idx", (F.col("volta") == F.col("texto")).alias("igual"))
 
 
 @query()
 def tagged_texts(spark: SparkSession, d: str) -> DataFrame:
-    return tags.anonymise(_records(spark, d), _session(spark, d, 1), 1, "⦃", "⦄")[0]
+    return tags.anonymise(_records(spark, d), _all_terms(spark, d), 1, "⦃", "⦄")[0]
 
 
 @query()
 def anonymised_records(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.run(table(spark, d, "prontuarios"), _session(spark, d, 2), 2)[0]
+    return pipeline.run(table(spark, d, "prontuarios"), _all_terms(spark, d), 1)[0]
 
 
 # --- knowledge ------------------------------------------------------------------------------
@@ -195,6 +213,21 @@ def knowledge_intersect(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.intersect_sessions(table(spark, d, TERMS), [1, 2])
 
 
+@query("SELECT sessao_id, CASE WHEN tipo = 'revisao' THEN 'revisao_arquivada' ELSE tipo END AS tipo, texto_original, id_local_sessao FROM p02_conhecimento")
+def archived_reviews(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, TERMS, "sessao_id", "tipo", "texto_original", "id_local_sessao")
+    for session in _sessions(known):
+        known = knowledge.retype(known, session, "revisao", "revisao_arquivada")
+    return known
+
+
+@query("SELECT sessao_id, tipo, texto_original, max(id_local_sessao) AS id_local_sessao FROM p02_conhecimento WHERE sessao_id IS NOT NULL GROUP BY ALL")
+def loaded_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, TERMS)
+    each = [knowledge.load(terms, x).withColumn("sessao_id", F.lit(x).cast("long")) for x in _sessions(terms)]
+    return reduce(DataFrame.unionByName, each).select("sessao_id", "tipo", "texto_original", "id_local_sessao")
+
+
 def _sessions(terms: DataFrame) -> list[int]:
     return [r[0] for r in terms.select("sessao_id").where("sessao_id IS NOT NULL").distinct().orderBy("sessao_id").collect()]
 
@@ -308,27 +341,54 @@ def missed_terms(spark: SparkSession, d: str) -> DataFrame:
     return scoring.term_frequency(_verdicts(spark, d).where("veredito = 'fn'"), "word")
 
 
-@query()
+_COVERED = "least(r.last_position, length({0})) > i AND greatest(r.first_position, 0) <= i"
+_RUNS = (
+    "g AS (SELECT id, text, mask, labels, unnest(range(0, length(mask))) AS i FROM m), "
+    "f AS (SELECT id, text, i FROM g WHERE substring(mask, i + 1, 1) IN ('*', '#') AND len(list_filter(coalesce(labels, []), lambda r: " + _COVERED.format("mask") + ")) = 0), "
+    "o AS (SELECT id, text, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS ilha FROM f), "
+    "q AS (SELECT id, min(i) AS ini, count(*) AS tamanho, any_value(text) AS text FROM o GROUP BY id, ilha HAVING count(*) >= 3)"
+)
+
+
+@query(f"WITH {_GOLD} {_RUNS} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY ini) - 1 AS INTEGER) AS ordem, CAST(ini AS INTEGER) AS ini, substring(text, ini + 1, tamanho) AS termo, CAST(tamanho AS INTEGER) AS tamanho FROM q")
 def residual_runs(spark: SparkSession, d: str) -> DataFrame:
     return scoring.residual_runs(_masked_gold(spark, d), "id", "text", "labels", "mascara", _CHARS)
 
 
-@query()
+@query(
+    f"WITH {_VERDICT}, {_RUNS}, "
+    "a AS (SELECT CAST(count(*) AS BIGINT) AS rotulos, CAST(count(*) FILTER (veredito = 'tp') AS BIGINT) AS tp, CAST(count(*) FILTER (veredito = 'tp_unknown') AS BIGINT) AS tp_unknown, CAST(count(*) FILTER (veredito = 'fn') AS BIGINT) AS fn FROM v), "
+    "b AS (SELECT CAST(count(*) AS BIGINT) AS fp, CAST(coalesce(sum(tamanho), 0) AS BIGINT) AS fp_chars FROM q), "
+    "e AS (SELECT *, (tp + tp_unknown) / (tp + tp_unknown + fp) AS precision, (tp + tp_unknown) / (tp + tp_unknown + fn) AS recall FROM a, b) "
+    "SELECT *, 2 * precision * recall / (precision + recall) AS f1, 5 * precision * recall / (4 * precision + recall) AS f2 FROM e"
+)
 def score_totals(spark: SparkSession, d: str) -> DataFrame:
     return scoring.totals(_verdicts(spark, d), residual_runs(spark, d))
 
 
-@query("SELECT id, CAST(length(text) AS INTEGER) AS n, text AS vazio FROM dataset_registros")
-def ground_truth_without_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "dataset_registros", "id", "text", "labels")
-    return rows.select("id", F.length(scoring.ground_truth(F.col("text"), F.col("labels"), "*")).alias("n"), scoring.ground_truth(F.col("text"), F.col("labels"), "*", []).alias("vazio"))
+_RELEVANT = ", ".join(f"'{x}'" for x in scoring.RELEVANT)
 
 
-@query()
+@query(f"WITH m AS (SELECT id, text, labels FROM dataset_registros), g AS (SELECT id, i, substring(text, i + 1, 1) AS c, len(list_filter(coalesce(labels, []), lambda r: r.subcategory IN ({_RELEVANT}) AND {_COVERED.format('text')})) > 0 AS hit FROM (SELECT *, unnest(range(0, length(text))) AS i FROM m)), s AS (SELECT id, string_agg(CASE WHEN hit THEN '*' ELSE c END, '' ORDER BY i) AS mascara FROM g GROUP BY id) SELECT m.id, CASE WHEN m.text = '' THEN '' ELSE s.mascara END AS mascara FROM m LEFT JOIN s USING (id)")
 def ground_truth_mask(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dataset_registros", "id", "text", "labels").select("id", scoring.ground_truth(F.col("text"), F.col("labels"), "*", scoring.RELEVANT).alias("mascara"))
 
 
+@query()
+def score_views(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.error_views(_masked_gold(spark, d), "id", "text", "labels", "mascara", _CHARS)
+
+
+@query(f"WITH {_VERDICT}, {_RUNS} SELECT substring(text, ini + 1, tamanho) AS termo, CAST(count(*) AS BIGINT) AS total FROM q GROUP BY 1")
+def wrong_terms(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.term_frequency(residual_runs(spark, d), "termo")
+
+
+@query("SELECT id, CAST(length(text) AS BIGINT) AS n, CAST(coalesce(sum(length(text)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM dataset_registros WHERE text IS NOT NULL")
+def record_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.offsets(table(spark, d, "dataset_registros", "id", "text").where("text IS NOT NULL").withColumn("k", F.length("text")), "id", "k")
+
+
 # --- lattice --------------------------------------------------------------------------------
 
 _HISTORY = "(1, 0.5, false), (2, 0.4, false), (3, 0.6, false), (4, 0.1, false)"
@@ -382,30 +442,30 @@ def exact_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def loop_detect_batch(spark: SparkSession, d: str) -> DataFrame:
-    return loops.detect_texts(spread(table(spark, d, LOGS, "id", "raciocinio")), "id", "raciocinio", chunk=20)
+    return loops.detect_texts(spread(table(spark, d, LOGS, "id", "raciocinio")), "id", "raciocinio")
 
 
 @query()
 def detector_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return loops.compare_detectors(table(spark, d, RUNS, "id", "raciocinio"), "id", "raciocinio")
+    return loops.compare_detectors(spread(table(spark, d, LOGS, "id", "raciocinio")), "id", "raciocinio")
 
 
 @query()
 def stateful_loops(spark: SparkSession, d: str) -> DataFrame:
     """The reasoning of the execution logs as a stream of chunks, read from files."""
-    base = f"{shared_dir(spark)}/chunks-{abs(hash(d))}"
+    base = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     t = F.col("raciocinio")
-    rows = table(spark, d, RUNS, "id", "raciocinio").where("length(raciocinio) > 0").select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.length(t) / 20).cast("int") - 1), lambda k: F.substring(t, k * 20 + 1, F.lit(20)))).alias("seq", "trecho"))
-    rows.write.mode("overwrite").parquet(f"{base}/in")
+    rows = table(spark, d, RUNS, "id", "raciocinio").where("length(raciocinio) > 0").select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.length(t) / 4).cast("int") - 1), lambda k: F.substring(t, k * 4 + 1, F.lit(4)))).alias("seq", "trecho"))
+    rows.write.parquet(f"{base}/in")
     found = loops.detect_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "id", "seq", "trecho")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, rocks)
     try:
         run = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        if old:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
     return spark.read.schema(found.schema).parquet(f"{base}/out")
 
 
@@ -438,6 +498,12 @@ def thinking_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", think.alias("raciocinio"), answer.alias("resposta"))
 
 
+@query(r"WITH t AS (SELECT id, llm_raw_response AS t, regexp_matches(llm_raw_response, '(?s)<think>.*?</think>') AS dentro FROM p02_brkga_logs_llm) SELECT id, CASE WHEN dentro THEN regexp_extract(t, '(?s)<think>(.*?)</think>\s*(.*)', 1) END AS raciocinio, CASE WHEN dentro THEN regexp_extract(t, '(?s)<think>(.*?)</think>\s*(.*)', 2) ELSE t END AS resposta FROM t")
+def raw_responses_split(spark: SparkSession, d: str) -> DataFrame:
+    think, answer = extractor.split_thinking(F.col("llm_raw_response"))
+    return table(spark, d, LOGS, "id", "llm_raw_response").select("id", think.alias("raciocinio"), answer.alias("resposta"))
+
+
 @query("SELECT id, CASE WHEN eval_duration_sec > 0 AND NOT isnan(eval_duration_sec) THEN eval_count / eval_duration_sec END AS taxa, CASE WHEN status_erro = 'timeout' THEN 'timeout' WHEN status_erro IS NOT NULL THEN 'erro' WHEN done_reason IS NOT NULL AND done_reason <> 'stop' THEN 'erro_stop_reason' END AS estado FROM p02_brkga_logs_llm")
 def call_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, LOGS, "id", "eval_count", "eval_duration_sec", "status_erro", "done_reason")
@@ -501,3 +567,9 @@ def fitness_cache(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, RESULTS)
     wanted = r.select("sessao_brkga_id", "temperature", "top_k", "top_p", "repeat_penalty", "repeat_last_n")
     return views.fitness_cache(r, wanted).groupBy("id", F.col("fitness").cast("double").alias("fitness")).agg(F.count("*").alias("usos"))
+
+
+@query("SELECT coalesce(loop_tipo, 'nenhum') AS modo, CAST(posicao_corte IS NOT NULL AS INTEGER) AS nivel, CAST(count(*) AS BIGINT) AS n, max(f2) AS melhor_f2, min(precision) AS menor_precision, min(recall) AS menor_recall FROM p02_brkga_simular_injection GROUP BY ALL")
+def chart_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, SIMULATED, "loop_tipo", "posicao_corte", "f2", "precision", "recall")
+    return views.chart_table(rows.withColumn("modo", F.coalesce("loop_tipo", F.lit("nenhum"))).withColumn("nivel", F.col("posicao_corte").isNotNull().cast("int")))
