@@ -47,6 +47,39 @@ def test_overlap_against_brute_force(spark):
     assert sum(r.ligacoes for r in rep) == len(got)
 
 
+def test_overlap_with_every_kind_of_edit_and_split_keys(spark):
+    """Replaced, deleted and inserted words, up to a fifth and beyond; 26 and 27 words with 22 in common; words that are in most texts."""
+    rng = random.Random(11)
+    rows, n = [], 0
+    for k in range(70):
+        base = _words(rng, rng.choice([5, 8, 15, 20, 26, 27, 45, 99, 100]))
+        for edit in range(3):
+            ws = base[:]
+            for _ in range(round(len(ws) * rng.uniform(0, 0.28))):
+                at = rng.randrange(len(ws))
+                kind = rng.randrange(3)
+                if kind == 0:
+                    ws[at] = f"w{rng.randint(0, 40)}"
+                elif kind == 1 and len(ws) > 1:
+                    del ws[at]
+                else:
+                    ws.insert(at, rng.choice(["rio", "mar", f"w{rng.randint(0, 40)}"]))
+            rows.append((n, " ".join(ws), "training" if edit == 0 else "test", "s"))
+            n += 1
+    long = [f"c{i}" for i in range(22)]
+    x, y = long[:], long[:]
+    for at in (4, 9, 14, 19):
+        x.insert(at, f"x{at}")
+        y.insert(at, f"y{at}")
+    rows += [(900, " ".join(x), "training", "s"), (901, " ".join([*y, "z"]), "test", "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = _brute(rows)
+    assert (900, 901) in want and len(want) > 60
+    for salt_rows in (overlap.SALT_ROWS, 5):
+        links, members = overlap.cross_split(df, salt_rows=salt_rows)
+        assert {(r.id_a, r.id_b) for r in overlap.row_pairs(links, members).collect()} == want
+
+
 def test_overlap_of_nothing(spark):
     links, members = overlap.cross_split(spark.createDataFrame([], SCHEMA))
     assert overlap.row_pairs(links, members).count() == 0 and overlap.overlap_report(links, members).count() == 0
