@@ -44,6 +44,7 @@ SHORTENED = set("aprox approx apr ex ej p pág págs pp art arts fig figs tab cf
 
 _STOP = re.compile(r"[.!?…。！？।॥؟۔｡．]+|[\r\n  \x85\x0b\x0c]+")
 # an opening mark isn't read over, so each text is scanned once
+_LONE = re.compile(r"(?<![.!?…。！？।॥؟۔｡．])\.[ \t\u00a0]+")
 _SPANS = re.compile(r"\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|‘[^‘’\n]+’|(?<![^\s(])'[^'\n]{2,}'(?![^\W_])|\([^()\n]+\)|（[^（）\n]+）|「[^「」\n]+」|『[^『』\n]+』")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|＠|\[arroba\]|\(at\)|\barroba\b) ?(?:[a-z0-9-]+(?:\.[a-z0-9-]+)*|[A-Z0-9-]+(?:\.[A-Z0-9-]+)*)|(?:https?://|www\.)[!-~]+(?<![.,;])")
 _BLANK = " \t\u00a0"
@@ -115,8 +116,11 @@ def stop_counts(text: str | None, stops=None, spans=None, addresses=None, lower:
     found: Counter = Counter()
     if not text or "." not in text:
         return found
-    if stops is None:
-        stops, lower = _stops(text), set(_WORD.findall(text))
+    if stops is None:  # only single full stops before a blank can count
+        stops = [(m.start(), m.start() + 1, ".", m.end(), _word_before(text, m.start())) for m in _LONE.finditer(text)]
+        if not stops:
+            return found
+        lower = set(_WORD.findall(text))
         spans, addresses = _marks(text)
     for s, e, marks, nxt, w in stops:
         if marks != "." or nxt == e or nxt >= len(text) or _covers(spans, s) or _covers(addresses, s):
@@ -391,9 +395,16 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = b["own"] if "own" in b else [None] * len(b)
-            each = (held.value if o is None else held.value.plus([(x["w"], x["kinds"]) for x in o]) for o in own)
-            rows = [(i, k, s, e, *((t[s:e],) if with_text else ())) for i, t, words in zip(b["id"], b["text"], each) for k, (s, e) in enumerate(units(t, words))]
-            yield pd.DataFrame(rows, columns=["id", "ordem", "inicio", "fim"] + ["texto"] * with_text)
+            ids, numbers, starts, ends, texts = [], [], [], [], []
+            for i, t, o in zip(b["id"], b["text"], own):
+                found = units(t, held.value if o is None else held.value.plus([(x["w"], x["kinds"]) for x in o]))
+                ids += [i] * len(found)
+                numbers += range(len(found))
+                starts += [s for s, _ in found]
+                ends += [e for _, e in found]
+                if with_text:
+                    texts += [t[s:e] for s, e in found]
+            yield pd.DataFrame({"id": ids, "ordem": numbers, "inicio": starts, "fim": ends} | ({"texto": texts} if with_text else {}))
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     if rest is not None:
