@@ -113,6 +113,17 @@ def test_a_stopped_run_ends_like_an_uninterrupted_one(spark, tmp_path):
     assert phases.row_phase(parts, _records(spark).limit(0), 1, _script(), "⦃", "⦄") == 0
 
 
+def test_a_whole_run_can_be_called_again(spark, tmp_path):
+    t = phases.Tables(spark, str(tmp_path / "w"))
+    rec = _records(spark).select("rec_idx", "prontuario", F.col("texto").alias("descricao"))
+    script = extractor.Scripted(_script().answers | {"Caio": [{"resposta": '{"classificacao": "nome"}'}]})
+    first = {r.rec_idx: r for r in phases.whole_run(t, rec, 1, script, batch=2).collect()}
+    assert "Ana" not in first[0].anonimizado and "Caio" not in first[4].anonimizado and len(first[0].mascara) == len(TEXTS[0]) and first[2].mascara == ""
+    log = t.log().count()
+    again = {r.rec_idx: r for r in phases.whole_run(t, rec, 1, script, batch=2).collect()}
+    assert again == first and t.log().count() == log
+
+
 def test_review(spark, tmp_path):
     t = phases.Tables(spark, str(tmp_path / "r"))
     rows = [(1, "revisao", x, i + 1) for i, x in enumerate(["Ana", "dor", "Rua A", "quebrado", "outro"])] + [(1, "nome", "Bia", 1), (2, "revisao", "fica", 1)]
@@ -166,6 +177,51 @@ def test_marks_and_lists(spark):
     assert out.where("rec_idx = 0").first().texto == "⦃ PERSON 2 ⦄ e ana lima; ⦃ PERSON 1 ⦄lima"
 
 
+def _chat(prompt, options):
+    if prompt == "laço":
+        for _ in range(100):
+            yield {"thinking": "gira "}
+        raise AssertionError("not stopped")
+    if prompt == "tempo":
+        yield {"content": "meio"}
+        raise TimeoutError
+    if prompt == "quebra":
+        raise OSError("sem rede")
+    yield {"content": "<think>penso</think> "}
+    yield {"content": "digo", "done": True, "done_reason": "length" if prompt == "longo" else "stop", "eval_count": 10, "eval_duration": 2_000_000_000, "total_duration": 3_000_000_000}
+
+
+def test_streamed_answers():
+    ticks = iter(range(1000))
+    ask = extractor.Streamed(_chat, ("m",), clock=lambda: next(ticks))
+    ok = ask("p", {})
+    assert (ok["raciocinio"], ok["resposta"], ok["status_erro"]) == ("penso", "digo", None) and ok["metricas"]["eval_tokens_per_second"] == 5.0 and ok["metricas"]["total_duration_sec"] == 3.0
+    loop = ask("laço", {})
+    assert loop["status_erro"] == "loop:janela_exata" and loop["loop_inicio"] == 0 and loop["metricas"]["eval_count"] == 60 and len(loop["raciocinio"]) == 300
+    assert ask("tempo", {})["status_erro"] == "timeout" and ask("tempo", {})["resposta"] == "meio"
+    assert ask("quebra", {})["status_erro"] == "erro: sem rede" and ask("longo", {})["status_erro"] == "erro_stop_reason"
+    assert ask.has_model("ollama:m") and not ask.has_model("x")
+
+
+def test_streamed_answers_as_attempts(spark):
+    df = spark.createDataFrame([("a", "laço"), ("b", "p")], "chave string, prompt string")
+    rows = {(r.chave, r.tentativa): r for r in extractor.attempts(df, extractor.Streamed(_chat)).collect()}
+    assert rows["a", 1].status_erro.startswith("loop") and not rows["a", 1].final and rows["b", 1].resposta == "digo"
+
+
+def test_encoder_and_profiles(spark, monkeypatch):
+    from velatura.config import settings_for
+    from velatura.functions import text
+
+    df = spark.createDataFrame([("ab c",), (None,), ("",), ("!",)], "t string")
+    make = lambda: lambda t: 1 / 0 if t == "!" else t.split()
+    assert [r.n for r in df.select(text.encoded_count(F.col("t"), make).alias("n")).collect()] == [2, -1, 0, -1]
+    profiles = {"a": Settings(), "b": Settings(attempts=1)}
+    assert settings_for(profiles, "a", "b").attempts == 1 and settings_for(profiles, "a", "z").attempts == 3
+    monkeypatch.setenv("VELATURA_PROFILE", "b")
+    assert settings_for(profiles, "a").attempts == 1
+
+
 # --- both ways of applying a dictionary ---
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import socket
 from dataclasses import dataclass, field
 
 
@@ -44,3 +46,8 @@ class Settings:
     first_gold_id: int = 875
     fp_min_chars: int = 3
     loops: LoopSettings = field(default_factory=LoopSettings)
+
+
+def settings_for(profiles: dict[str, Settings], default: str, host: str | None = None) -> Settings:
+    """The profile of this host (or of ``VELATURA_PROFILE``); the default where it has none."""
+    return profiles.get(os.environ.get("VELATURA_PROFILE") or host or socket.gethostname(), profiles[default])

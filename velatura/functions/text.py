@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +133,24 @@ def misaligned(original: Column, mask: Column, chars: str) -> Column:
 def token_count(c: Column) -> Column:
     """White-space tokens; -1 for null."""
     return F.when(c.isNull(), -1).otherwise(F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")))
+
+
+def encoded_count(c: Column, make) -> Column:
+    """Tokens of each text by an encoder; ``make()`` gives a function text -> tokens, once a batch of rows.
+
+    -1 for null and for a text that the encoder can't take.
+    """
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        encode = make()
+
+        def one(t):
+            try:
+                return -1 if t is None else len(encode(t))
+            except Exception:  # noqa: BLE001 - encoders raise errors of their own
+                return -1
+
+        return pd.Series([one(t) for t in texts], dtype="int32")
+
+    return count(c)

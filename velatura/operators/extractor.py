@@ -7,13 +7,15 @@ tasks, so it must be picklable; ``Scripted`` answers from a table and is used in
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velatura.config import Settings
+from velatura.config import LoopSettings, Settings
 from velatura.functions.text import drop_leaked_tags
 
 ANSWER = "struct<map_nomes:array<string>,map_enderecos:array<string>,map_outros:array<string>,map_idades:array<string>,map_profissoes:array<string>,duvidas_pendentes:array<string>>"
@@ -31,6 +33,64 @@ class Scripted:
         return mine[min(options["tentativa"], len(mine)) - 1]
 
 
+class Streamed:
+    """A provider that reads a model's answer chunk by chunk and stops it when its reasoning loops.
+
+    ``chat(prompt, options)`` yields dicts: ``thinking`` and ``content`` are pieces of text, ``done``
+    ends the stream with ``done_reason`` and the counts and nanoseconds of the call. Without
+    reasoning of its own, ``<think>`` marks in the content are taken for it. A stream that is stopped
+    has partial metrics: a chunk counts as one token, and the time is the time until then.
+    """
+
+    def __init__(self, chat: Callable, models: tuple[str, ...] = (), settings: LoopSettings = LoopSettings(), clock: Callable[[], float] = time.monotonic):
+        self.chat, self.models, self.settings, self.clock = chat, models, settings, clock
+
+    def has_model(self, name: str) -> bool:
+        return name.removeprefix("ollama:") in self.models
+
+    def __call__(self, prompt: str, options: dict) -> dict:
+        from velatura.streaming.loops import LoopDetector
+
+        loop, thinking, content, chunks = LoopDetector(self.settings), [], [], 0
+        began = self.clock()
+        out: dict = {"status_erro": None, "loop_inicio": None, "metricas": {}}
+        try:
+            for part in self.chat(prompt, options):
+                chunks += 1
+                thinking.append(part.get("thinking") or "")
+                content.append(part.get("content") or "")
+                if thinking[-1] and (hit := loop.feed(thinking[-1])):
+                    out |= {"status_erro": f"loop:{hit}", "loop_inicio": loop.start, "metricas": self._partial(chunks, began)}
+                    break
+                if part.get("done"):
+                    out["metricas"] = _seconds(part)
+                    if part.get("done_reason") not in (None, "stop"):
+                        out["status_erro"] = "erro_stop_reason"
+        except TimeoutError:
+            out |= {"status_erro": "timeout", "metricas": self._partial(chunks, began)}
+        except Exception as e:  # noqa: BLE001 - whatever the model's client raises is an answer too
+            out |= {"status_erro": f"erro: {e}", "metricas": self._partial(chunks, began)}
+        reasoning, answer = "".join(thinking), "".join(content)
+        inside = None if reasoning else re.search(r"<think>(.*?)</think>\s*(.*)", answer, re.S)
+        if inside:
+            reasoning, answer = inside.groups()
+        return out | {"raciocinio": reasoning, "resposta": answer}
+
+    def _partial(self, chunks: int, began: float) -> dict:
+        sec = self.clock() - began
+        return {"eval_count": chunks, "total_duration_sec": sec, "eval_tokens_per_second": chunks / sec if sec > 0 else None}
+
+
+def _seconds(done: dict) -> dict:
+    """The metrics of a finished call, nanoseconds as seconds."""
+    out = {k: done.get(k) for k in ("prompt_eval_count", "eval_count")}
+    for k in ("total_duration", "load_duration", "prompt_eval_duration", "eval_duration"):
+        out[f"{k}_sec"] = done[k] / 1e9 if done.get(k) is not None else None
+    sec = out["eval_duration_sec"]
+    out["eval_tokens_per_second"] = out["eval_count"] / sec if sec and out["eval_count"] is not None else None
+    return out
+
+
 def split_thinking(content: Column) -> tuple[Column, Column]:
     """(reasoning, answer) of a text with ``<think>`` marks; without them all is the answer."""
     both = r"(?s)<think>(.*?)</think>\s*(.*)"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from velatura.config import Settings
 from velatura.functions.text import comparison_key, strip, to_model_tags, valid_term
 from velatura.operators import extractor, knowledge, ngrams, tags
-from velatura.plans.pipeline import KNOWLEDGE
+from velatura.plans.pipeline import KNOWLEDGE, absent_characters, prepare, run
 from velatura.session import exists, stage
 from velatura.sources.sinks import VersionedTable, append_log
 
@@ -180,3 +180,18 @@ def review_phase(tables: Tables, session: int, provider: Callable, settings: Set
         others = tables.knowledge.read().where(F.col("sessao_id") != session)
         tables.knowledge.overwrite(others.unionByName(whole.select(*others.columns)))
     return n
+
+
+def whole_run(tables: Tables, records: DataFrame, session: int, provider: Callable, settings: Settings = Settings(), batch: int = 1000) -> DataFrame:
+    """All phases, then rec_idx, original, anonimizado and mascara of every record of rec_idx, prontuario, descricao.
+
+    Called again after it was stopped, it goes on; called again after it ended, it only renders.
+    """
+    rows = stage(prepare(records), "records")
+    ini, fim = absent_characters(rows, "bruto")
+    ngram_phase(tables, rows, session, provider, ini, fim, settings)
+    row_phase(tables, rows, session, provider, ini, fim, settings, batch)
+    review_phase(tables, session, provider, settings)
+    out, known = run(records, tables.of(session).where("tipo <> 'revisao_arquivada'"), session)
+    tables.knowledge.upsert(known)
+    return out
