@@ -131,10 +131,21 @@ def foreign(answer: str) -> bool:
     return best != "pt" and score[best] >= 2 and score[best] > 1.4 * score["pt"]
 
 
+class _Marks(dict):
+    """Deletes combining marks in ``str.translate``; each character is looked up once."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.combining(chr(code)) else code
+        return self[code]
+
+
+_PLAIN = _Marks()
+
+
 def _flat(text: str) -> str:
     text = text.casefold()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFKD", text).translate(_PLAIN)
     return _FLAT.sub(" ", text).strip()
 
 
