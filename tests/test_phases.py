@@ -177,23 +177,26 @@ def test_marks_and_lists(spark):
     assert out.where("rec_idx = 0").first().texto == "⦃ PERSON 2 ⦄ e ana lima; ⦃ PERSON 1 ⦄lima"
 
 
-def _chat(prompt, options):
-    if prompt == "laço":
-        for _ in range(100):
-            yield {"thinking": "gira "}
-        raise AssertionError("not stopped")
-    if prompt == "tempo":
-        yield {"content": "meio"}
-        raise TimeoutError
-    if prompt == "quebra":
-        raise OSError("sem rede")
-    yield {"content": "<think>penso</think> "}
-    yield {"content": "digo", "done": True, "done_reason": "length" if prompt == "longo" else "stop", "eval_count": 10, "eval_duration": 2_000_000_000, "total_duration": 3_000_000_000}
+def _chat():
+    def chat(prompt, options):
+        if prompt == "laço":
+            for _ in range(100):
+                yield {"thinking": "gira "}
+            raise AssertionError("not stopped")
+        if prompt == "tempo":
+            yield {"content": "meio"}
+            raise TimeoutError
+        if prompt == "quebra":
+            raise OSError("sem rede")
+        yield {"content": "<think>penso</think> "}
+        yield {"content": "digo", "done": True, "done_reason": "length" if prompt == "longo" else "stop", "eval_count": 10, "eval_duration": 2_000_000_000, "total_duration": 3_000_000_000}
+
+    return chat
 
 
 def test_streamed_answers():
     ticks = iter(range(1000))
-    ask = extractor.Streamed(_chat, ("m",), clock=lambda: next(ticks))
+    ask = extractor.Streamed(_chat(), ("m",), clock=lambda: next(ticks))
     ok = ask("p", {})
     assert (ok["raciocinio"], ok["resposta"], ok["status_erro"]) == ("penso", "digo", None) and ok["metricas"]["eval_tokens_per_second"] == 5.0 and ok["metricas"]["total_duration_sec"] == 3.0
     loop = ask("laço", {})
@@ -205,7 +208,7 @@ def test_streamed_answers():
 
 def test_streamed_answers_as_attempts(spark):
     df = spark.createDataFrame([("a", "laço"), ("b", "p")], "chave string, prompt string")
-    rows = {(r.chave, r.tentativa): r for r in extractor.attempts(df, extractor.Streamed(_chat)).collect()}
+    rows = {(r.chave, r.tentativa): r for r in extractor.attempts(df, extractor.Streamed(_chat())).collect()}
     assert rows["a", 1].status_erro.startswith("loop") and not rows["a", 1].final and rows["b", 1].resposta == "digo"
 
 
