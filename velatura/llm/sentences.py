@@ -32,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,10 @@ _STOP = re.compile(r"[.!?…。！？।॥؟۔｡．]+|[\r\n  \x85\x0b\x0c]
 # an opening mark isn't read over, so each text is scanned once
 _LONE = re.compile(r"(?<![.!?…。！？।॥؟۔｡．])\.[ \t\u00a0]+")
 _SPANS = re.compile(r"\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|‘[^‘’\n]+’|(?<![^\s(])'[^'\n]{2,}'(?![^\W_])|\([^()\n]+\)|（[^（）\n]+）|「[^「」\n]+」|『[^『』\n]+』")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|＠|\[arroba\]|\(at\)|\barroba\b) ?(?:[a-z0-9-]+(?:\.[a-z0-9-]+)*|[A-Z0-9-]+(?:\.[A-Z0-9-]+)*)|(?:https?://|www\.)[!-~]+(?<![.,;])")
+_SIGN = re.compile(r"@|＠|\[arroba\]|\(at\)|\barroba\b|://|www\.")
+_MAIL = re.compile(r" ?(?:@|＠|\[arroba\]|\(at\)|\barroba\b) ?(?:[a-z0-9-]+(?:\.[a-z0-9-]+)*|[A-Z0-9-]+(?:\.[A-Z0-9-]+)*)")
+_URL = re.compile(r"(?:https?://|www\.)[!-~]+(?<![.,;])")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _BLANK = " \t\u00a0"
 _CLOSE = "\"'”’»)）」』]》*_"
 _BULLET = re.compile(r"[ \t ]*(?:[-*•·–—▪◦‣]+[ \t ]|\(?\d{1,3}[.)][ \t ]|\(?[a-zA-Z]\)[ \t ])")
@@ -73,7 +77,24 @@ class Known:
 
 
 def _masked(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _ADDRESS.finditer(text)] if "@" in text or "＠" in text or "arroba" in text or "(at)" in text or "://" in text or "www." in text else []
+    """E-mail and network addresses, found at their signs."""
+    out: list[tuple[int, int]] = []
+    end = 0
+    for m in _SIGN.finditer(text):
+        at = m.start()
+        if m.group() in ("://", "www."):
+            s = at if m.group() == "www." else next((at - k for k in (5, 4) if text[at - k : at] == "https"[:k]), -1)
+            found = _URL.match(text, s) if s >= end else None
+        else:
+            e = at - 1 if at and text[at - 1] == " " else at
+            s = e
+            while s > end and text[s - 1] in _LOCAL:
+                s -= 1
+            found = _MAIL.match(text, e) if s < e else None
+        if found:
+            end = found.end()
+            out.append((s, end))
+    return out
 
 
 def _covers(spans: list[tuple[int, int]], s: int) -> tuple[int, int] | None:
@@ -326,19 +347,20 @@ def _short(w: str, here: Counter, known: Known) -> bool:
     return w not in known.ends and (w in SHORTENED or w in TITLES)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     for b in batches:
-        for t in b["text"]:
+        for t in b.column(0).to_pylist():
             total.update(stop_counts(t))
         if len(total) > 300_000:
-            yield _frame(total)
+            yield _batch(total)
             total = Counter()
-    yield _frame(total)
+    yield _batch(total)
 
 
-def _frame(total: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(w, *(n if k == x else 0 for x in "abu")) for (w, k), n in total.items()], columns=["w", "a", "b", "u"])
+def _batch(total: Counter) -> pa.RecordBatch:
+    columns = [pa.array([w for w, _ in total], pa.string()), *[pa.array([n if k == x else 0 for (_, k), n in total.items()], pa.int64()) for x in "abu"]]
+    return pa.RecordBatch.from_arrays(columns, names=["w", "a", "b", "u"])
 
 
 def corpus_words(df: DataFrame, text_col: str, least: int = 5, share: float = 0.75) -> DataFrame:
@@ -346,7 +368,7 @@ def corpus_words(df: DataFrame, text_col: str, least: int = 5, share: float = 0.
 
     kinds: 1 an abbreviation, 2 the end of a sentence, 4 the end of a sentence by unambiguous cases.
     """
-    counts = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInPandas(_counted, "w string, a long, b long, u long").groupBy("w").agg(*[F.sum(c).alias(c) for c in "abu"])
+    counts = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(_counted, "w string, a long, b long, u long").groupBy("w").agg(*[F.sum(c).alias(c) for c in "abu"])
     n = F.col("a") + F.col("b")
     bit = lambda c, v: F.when(c, v).otherwise(0)
     ends = (F.col("u") >= least) & (F.col("u") >= share * (F.col("a") + F.col("u"))) & (F.col("u") >= 0.3 * F.col("b"))
@@ -392,19 +414,21 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool =
     known, rest = _listed(corpus_words(df, text_col), listed)
     held = df.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b["own"] if "own" in b else [None] * len(b)
-            ids, numbers, starts, ends, texts = [], [], [], [], []
-            for i, t, o in zip(b["id"], b["text"], own):
+            texts = b.column("text").to_pylist()
+            own = b.column("own").to_pylist() if "own" in b.schema.names else [None] * len(texts)
+            rows, numbers, starts, ends, parts = [], [], [], [], []
+            for i, (t, o) in enumerate(zip(texts, own)):
                 found = units(t, held.value if o is None else held.value.plus([(x["w"], x["kinds"]) for x in o]))
-                ids += [i] * len(found)
+                rows += [i] * len(found)
                 numbers += range(len(found))
                 starts += [s for s, _ in found]
                 ends += [e for _, e in found]
                 if with_text:
-                    texts += [t[s:e] for s, e in found]
-            yield pd.DataFrame({"id": ids, "ordem": numbers, "inicio": starts, "fim": ends} | ({"texto": texts} if with_text else {}))
+                    parts += [t[s:e] for s, e in found]
+            columns = [b.column("id").take(pa.array(rows, pa.int32())), *[pa.array(x, pa.int32()) for x in (numbers, starts, ends)]]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.string())] * with_text, names=["id", "ordem", "inicio", "fim"] + ["texto"] * with_text)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     if rest is not None:
@@ -412,4 +436,4 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool =
         asked = rows.select("key", "text").mapInPandas(_asked_rows, "key long, w string").join(rest, "w")
         rows = rows.join(asked.groupBy("key").agg(F.collect_list(F.struct("w", "kinds")).alias("own")), "key", "left").drop("key")
     schema = f"id {df.schema[id_col].dataType.simpleString()}, ordem int, inicio int, fim int" + ", texto string" * with_text
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
