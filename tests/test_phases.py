@@ -203,7 +203,7 @@ def test_streamed_answers():
     assert loop["status_erro"] == "loop:janela_exata" and loop["loop_inicio"] == 0 and loop["metricas"]["eval_count"] == 60 and len(loop["raciocinio"]) == 300
     assert ask("tempo", {})["status_erro"] == "timeout" and ask("tempo", {})["resposta"] == "meio"
     assert ask("quebra", {})["status_erro"] == "erro: sem rede" and ask("longo", {})["status_erro"] == "erro_stop_reason"
-    assert ask.has_model("ollama:m") and not ask.has_model("x")
+    assert ask.has_model("casa:m") and not ask.has_model("x")
 
 
 def test_streamed_answers_as_attempts(spark):

@@ -46,7 +46,8 @@ class Streamed:
         self.chat, self.models, self.settings, self.clock = chat, models, settings, clock
 
     def has_model(self, name: str) -> bool:
-        return name.removeprefix("ollama:") in self.models
+        """Whether the model is there; a provider's name may stand before it, with a colon."""
+        return name in self.models or name.partition(":")[2] in self.models
 
     def __call__(self, prompt: str, options: dict) -> dict:
         from velatura.streaming.loops import LoopDetector
