@@ -49,6 +49,11 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _json(value) -> str:
+    """As short as it can be: it stands in the plan."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def _bucket_of(piece: Column) -> Column:
     return F.pmod(F.hash(piece), F.lit(BUCKETS))
 
@@ -65,7 +70,7 @@ def _rank_literal(path: str, app: str) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for r in vocabulary(spark, path).where(F.length("piece") > 1).withColumn("b", _bucket_of(F.col("piece"))).toLocalIterator():
         buckets[r.b][r.piece] = r.rank
-    return json.dumps(buckets)
+    return _json(buckets)
 
 
 def rank_map(spark: SparkSession, path: str) -> Column:
@@ -173,7 +178,7 @@ def _split(table: DataFrame, value: Column, kind: str, frequent: int) -> tuple[C
     if cut is not None:
         for r in table.where(step >= cut).select("w", value.alias("v"), _bucket_of(F.col("w")).alias("b")).toLocalIterator():
             buckets[r.b][r.w] = r.v
-    literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
+    literal = F.from_json(F.lit(_json(buckets)), f"array<map<string,{kind}>>")
     return literal, table.where(step < (cut if cut is not None else 1 << 30)).select("w", value.alias("v")) if left else None
 
 
@@ -218,7 +223,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
 @cache
 def _piece_literal(path: str) -> str:
     table = {v: k.decode("latin-1") for k, v in ranks(path).items()}
-    return json.dumps([table.get(i, "") for i in range(max(table) + 1)])
+    return _json([table.get(i, "") for i in range(max(table) + 1)])
 
 
 def decode(encoded: DataFrame, id_col: str, ids_col: str = "ids", path: str | None = None) -> DataFrame:
