@@ -113,6 +113,48 @@ def test_overlap_however_the_changes_lie(spark):
     assert got == _brute(rows) and {(i, i + 1) for i in range(0, 12, 2)} <= got
 
 
+def test_overlap_keys_miss_no_partner_and_few_texts_of_one_template_meet():
+    rng, share = random.Random(7), 0.8
+    sentences = [[f"s{k}w{i}" for i in range(12)] for k in range(40)]  # each word is in a quarter of the texts: by single words most texts meet
+
+    def text():
+        return [w if rng.random() < 0.7 else f"{w}v{rng.randrange(30)}" for s in rng.sample(sentences, 10) for w in s][: rng.randint(60, 120)]
+
+    texts = [text() for _ in range(300)]
+    for n in (1, 2, 4, 5, 9, 26, 99, 700):
+        texts += [[f"w{rng.randrange(n)}" for _ in range(n)] for _ in range(3)]
+    changed = []
+    for ws in texts:
+        ws, kind = ws[:], rng.choice(["replace", "delete", "insert", "all"])
+        for _ in range(rng.randint(0, max(1, len(ws) // 4))):
+            k = rng.choice(["replace", "delete", "insert"]) if kind == "all" else kind
+            at = rng.randrange(len(ws))
+            if k == "insert":
+                ws.insert(at, f"n{rng.randrange(50)}")
+            elif k == "delete" and len(ws) > 1:
+                del ws[at]
+            else:
+                ws[at] = f"n{rng.randrange(50)}"
+        changed.append(ws)
+    hs, _ = overlap._hashes(texts + changed, overlap._Known())
+    cells = np.bincount(np.concatenate(hs) & 0xFFFFF, minlength=1 << 20)
+    rank = np.empty(1 << 20, dtype=np.int32)
+    rank[np.argsort(-cells, kind="stable")] = np.arange(1 << 20)
+    for dims in (2, 3, 5):
+        keys = [set() for _ in hs]
+        for i, k in zip(*(x.tolist() for x in overlap.covering_keys(hs, rank, overlap._Lengths(share, dims)))):
+            keys[i].add(k)
+        near = [i for i, (a, b) in enumerate(zip(texts, changed)) if overlap.common_words(a, b) >= share * max(len(a), len(b)) - 1e-9]
+        assert len(near) > 150 and all(keys[i] & keys[len(texts) + i] for i in near)
+    assert sum(bool(keys[i] & keys[j]) for i in range(300) for j in range(i)) < 0.1 * 300 * 299 / 2
+
+
+def test_words_of_latin_and_other_texts():
+    assert overlap.words("ÀÇÃO_2º m² ¼ straße–x 'Æon' ´a µg ﬁm") == ["acao", "2o", "m2", "1", "4", "strasse", "x", "æon", "a", "μg", "fim"]
+    for code in (*range(0x250), 0x130, 0x3A3, 0x2013):
+        assert overlap.words(f"a{chr(code)}b") == overlap._WORD.findall(overlap.unicodedata.normalize("NFKD", f"a{chr(code)}b".casefold()).translate(overlap._PLAIN))
+
+
 # --- 2: percentiles ---
 
 
